@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from weft.llm import exact_dedup, mixing
-from weft.llm.common import table
+from weft.llm import exact_dedup, html_extract, langid, licenses, mixing, warc
+from weft.llm.common import scratch, table
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
 
@@ -60,12 +59,77 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    manifest = warc.write(pages, folder)
+    return warc.read(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id,
+             CAST(CAST(unhex(digest) AS BIT) AS VARCHAR) AS bits FROM p)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST('0b' || substr(bits, CAST(1 + 5 * i AS INT), 5) AS INT), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_OP10_WORDS = r"string_split(trim(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+OP10_SQL = f"""
+WITH templates(license, body) AS (VALUES {", ".join(f"({_literal(n)}, {_literal(t)})" for n, t in licenses.TEMPLATES)}),
+tw AS (SELECT license, {_OP10_WORDS.format("body")} AS w FROM templates),
+want AS (SELECT DISTINCT license, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS sh
+         FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM tw)),
+known AS (SELECT license, count(*) AS n, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS m FROM want GROUP BY license),
+dw AS (SELECT doc_id, {_OP10_WORDS.format("text")} AS w FROM documents),
+shingles AS (SELECT doc_id, i - 1 AS pos, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS sh
+             FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+hits AS (SELECT s.doc_id, k.license, k.n, s.sh, unnest([s.pos // k.m * k.m, s.pos // k.m * k.m - k.m]) AS first_word
+         FROM shingles s JOIN want USING (sh) JOIN known k ON k.license = want.license),
+windows AS (SELECT doc_id, license, first_word, count(DISTINCT sh) / CAST(any_value(n) AS DOUBLE) AS share
+            FROM hits WHERE first_word >= 0 GROUP BY ALL)
+SELECT doc_id, license, max(share) AS containment, count(*) AS n_windows, min(first_word) AS first_word
+FROM windows WHERE share >= {licenses.CONTAINMENT} GROUP BY doc_id, license
+"""
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_warc": op4_warc,
+    "op5_langid": op5_langid,
+    "op8_html_extract": op8_html_extract,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES = {
     "op2_mixing": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op4_warc": OP4_SQL,
+    "op10_licenses": OP10_SQL,
 }
