@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import exact_dedup, html_extract, langid, licenses, mixing, warc
+from weft.llm import exact_dedup, html_extract, langid, licenses, mixing, ngram_join, warc
 from weft.llm.common import scratch, table
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
@@ -87,6 +87,26 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
+
+
+OP7_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS_SQL}') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, list_aggregate(w[i:i + 2], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
+"""
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -123,6 +143,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
     "op5_langid": op5_langid,
+    "op7_ngram_join": op7_ngram_join,
     "op8_html_extract": op8_html_extract,
     "op10_licenses": op10_licenses,
 }
@@ -131,5 +152,6 @@ ORACLES = {
     "op2_mixing": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op4_warc": OP4_SQL,
+    "op7_ngram_join": OP7_SQL,
     "op10_licenses": OP10_SQL,
 }
