@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import exact_dedup, html_extract, langid, licenses, mixing, ngram_join, warc
+from weft.llm import decontaminate, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, warc
 from weft.llm.common import scratch, table
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
@@ -87,6 +87,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
 
@@ -143,6 +147,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
     "op5_langid": op5_langid,
+    "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
     "op8_html_extract": op8_html_extract,
     "op10_licenses": op10_licenses,

@@ -90,11 +90,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(raw: np.ndarray, off: np.ndarray, case: np.ndarray = LOWER) -> Words:
+def words(raw: np.ndarray, off: np.ndarray, case: np.ndarray = LOWER, separator: np.ndarray = SEPARATOR) -> Words:
     """raw: the chunk's bytes; off: its documents' offsets, from 0."""
     n = len(raw)
     inside = np.zeros(n + 1, bool)
-    np.logical_not(SEPARATOR[raw], out=inside[:n])
+    np.logical_not(separator[raw], out=inside[:n])
     start_mask = inside[:n].copy()
     start_mask[1:] &= ~inside[: n - 1]
     edges = off[1:-1]
