@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +53,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads again, and let Spark drop shuffles nobody refers to."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/weft-" in path:
+                _delete(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
 

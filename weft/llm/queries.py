@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontaminate, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, warc
+from weft.llm import decontaminate, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, substrings, warc
 from weft.llm.common import scratch, table
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -143,6 +148,7 @@ FROM windows WHERE share >= {licenses.CONTAINMENT} GROUP BY doc_id, license
 
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
