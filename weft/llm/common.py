@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.sources.scratch import materialize, release, scratch, shared_dir
+
+__all__ = ["input_partitions", "materialize", "per_batch", "release", "scratch", "shared_dir", "table", "tune"]
+
 #: Rows and bytes of one Arrow batch between the JVM and Python; both bound a worker's memory.
 BATCH_ROWS = 4000
 BATCH_BYTES = 16 << 20
@@ -26,53 +26,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only where nothing set it (tests on one machine) a temporary folder takes its place.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="weft-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # noqa: BLE001 - the session may have ended; the folder is the cluster's to clean
-        return
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when the program ends."""
-    path = f"{shared_dir(spark)}/weft-{tag}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads again, and let Spark drop shuffles nobody refers to."""
-    for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/weft-" in path:
-                _delete(spark, path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    It also fixes values that a recomputation could change, such as the bounds of a range partitioning.
-    """
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator], Iterator]:
     """Lift a function on batches to what mapInArrow takes; None stands for no rows."""
 
