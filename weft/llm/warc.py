@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import materialize, tune
 
-SHARD_BYTES = 256 << 20
+SHARD_BYTES = 32 << 20
 ROLL_BYTES = 32 << 20
+_STEP = 1 << 13
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 _RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -145,12 +146,17 @@ def _make_folder(spark: SparkSession, folder: str) -> None:
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record of a file's bytes, one gzip member at a time."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        raw = unpacker.decompress(data) + unpacker.flush()
-        if not unpacker.eof:
-            raise ValueError("the file ends within a gzip member")
-        data = unpacker.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        # Small steps: what a member leaves of its last one is copied, and must not be the rest of the file.
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if at >= len(view):
+                raise ValueError("the file ends within a gzip member")
+            step = view[at : at + _STEP]
+            parts.append(unpacker.decompress(step))
+            at += len(step) - len(unpacker.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
