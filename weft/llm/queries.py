@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontaminate, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, substrings, warc
+from weft.llm import decontaminate, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, passages, substrings, warc
 from weft.llm.common import scratch, table
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
@@ -120,6 +120,10 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -156,6 +160,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
     "op8_html_extract": op8_html_extract,
+    "op9_passages": op9_passages,
     "op10_licenses": op10_licenses,
 }
 
