@@ -158,5 +158,5 @@ def what_if_edges(edges: DataFrame, u: Column | int, v: Column | int, k: int) ->
     fake = top.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"), "m").select((F.col("m") + 1001 + F.col("i")).alias("w")) if k else None
     if fake is None:
         return edges.select("u", "v")
-    new = fake.select(F.explode(F.array(F.lit(u), F.lit(v))).cast("bigint").alias("u"), F.col("w").alias("v"))
+    new = fake.select(F.explode(F.array(F.lit(u).cast("bigint"), F.lit(v).cast("bigint"))).alias("u"), F.col("w").alias("v"))
     return edges.select("u", "v").unionByName(new.select("u", "v"))
