@@ -343,7 +343,7 @@ def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.path_lengths(save(suppliers(spark, sf_dir)), save))
 
 
-@register("path_length_sampled", sql(SUPPLIERS, ADJ, NODES, PATHS, "some AS (SELECT id FROM nodes ORDER BY md5('42|path|' || id), id LIMIT 20)", final="SELECT round(CAST(sum(d) AS DOUBLE) / (20 * (max(n) - 1)), 8) AS avg_path_length, CAST(max(d) AS BIGINT) AS diameter FROM paths, n WHERE s IN (SELECT id FROM some)", recursive=True))
+@register("path_length_sampled", sql(SUPPLIERS, ADJ, NODES, PATHS, "chosen AS (SELECT id FROM nodes ORDER BY md5('42|path|' || id), id LIMIT 20)", final="SELECT round(CAST(sum(d) AS DOUBLE) / (20 * (max(n) - 1)), 8) AS avg_path_length, CAST(max(d) AS BIGINT) AS diameter FROM paths, n WHERE s IN (SELECT id FROM chosen)", recursive=True))
 def path_length_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.path_lengths(save(suppliers(spark, sf_dir)), save, exact_up_to=20, samples=20))
 

@@ -22,7 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that may be gone already."""
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -33,7 +34,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, deleted when the program ends."""
     path = f"{shared_dir(spark)}/weft-{tag}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return path
 
 
@@ -42,7 +43,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     for df in tables:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/weft-" in path:
-                _delete(spark, path)
+                delete(spark, path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
