@@ -29,11 +29,11 @@ def connected_components(edges: DataFrame, save: Callable[[DataFrame], DataFrame
     for _ in range(MAX_ROUNDS):
         # Large star: each vertex links its larger neighbours to its least neighbour (or itself).
         both = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").where("a < b").distinct()
         large = save(large)
         # Small star: each vertex links its smaller neighbours, and itself, to the least of them.
-        least = save(large.groupBy("b").agg(F.min("a").alias("m")))
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).union(least.select(F.col("m"), F.col("b")))
         star = save(small.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         # It has converged when every vertex has one edge and no root hangs on another.
