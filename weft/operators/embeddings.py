@@ -23,7 +23,7 @@ def walks(edges: DataFrame, save: Save, per_node: int = 8, length: int = 15, see
     ranked = G.adjacency(edges).withColumn("i", F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1)
     deg = G.degree(edges)
     indexed = save(ranked.join(deg.toDF("src", "d"), "src").select("src", "dst", "i", "d"))
-    at = G.nodes(edges).select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("walk"))
+    at = G.nodes(edges).select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per_node - 1).cast("bigint"))).alias("walk"))
     now = save(at.select("start", "walk", F.lit(0).alias("step"), F.col("start").alias("node"), F.lit(None).cast("bigint").alias("last")))
     out = now.select("start", "walk", "step", "node")
     second = None if p == q == 1 else save(transition_probs(edges, p, q))
