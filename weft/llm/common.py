@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.sources.scratch import materialize, release, scratch, shared_dir
+from weft.sources.scratch import delete, materialize, release, scratch, shared_dir
 
-__all__ = ["input_partitions", "materialize", "per_batch", "release", "scratch", "shared_dir", "table", "tune"]
+__all__ = ["delete", "input_partitions", "materialize", "per_batch", "release", "scratch", "shared_dir", "table", "tune"]
 
 #: Rows and bytes of one Arrow batch between the JVM and Python; both bound a worker's memory.
 BATCH_ROWS = 4000

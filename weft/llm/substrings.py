@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import materialize, release, scratch, tune
+from weft.llm.common import delete, materialize, release, scratch, tune
 from weft.llm.textnum import mix64, utf8
 
 LENGTH = 100
@@ -532,7 +532,10 @@ def dedup_substrings(docs: DataFrame, row_id: str = "doc_id", text: str = "text"
     sorted_out = cold.mapInArrow(_groups(length), "doc_id bigint, lo bigint, hi bigint")
     windows = found.where("kind = 1").groupBy("h", "k").agg(F.min(F.struct("doc_id", "at")).alias("m")).select("m.doc_id", F.col("m.at").alias("lo"), F.col("m.at").alias("hi"))
     kept = materialize(sorted_out.unionByName(windows), "survivors")
+    for kind in (0, 1):
+        delete(spark, f"{path}/kind={kind}")
     release(spark)
+    found = spark.read.schema(_CONTEXT_SQL).parquet(path)
 
     pack = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     little = lambda c: F.concat(*[F.substring(pack(c), k, 1) for k in range(8, 0, -1)])  # noqa: E731 - as NumPy reads it
