@@ -3,7 +3,9 @@
 A document's tokens are its distinct word shingles in one global order, rare ones first. Two documents with
 Jaccard similarity t share at least l tokens among the first |x| - ceil(t |x|) + l of each, for any l. Each document
 picks the l whose prefix has the least estimated cost (matching tokens, and candidates left to verify), so
-documents with frequent tokens lengthen their prefix and ask for correspondingly more shared tokens.
+documents with frequent tokens lengthen their prefix and ask for correspondingly more shared tokens. For a pair,
+both sizes say how much it has to have in common, which is more than either alone: matches count as far as the prefixes
+that this leaves.
 
 The order comes from a count sketch of fixed size over all documents: a larger corpus raises noise and counts
 alike. Any order gives the same links; a good one gives fewer candidates.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import materialize, per_batch, tune
+from weft.llm.common import materialize, per_batch, release, tune
 from weft.llm.textnum import LOWER, chunks, mix64, run_hash, shingles, utf8, words
 from weft.operators.components import connected_components
 
@@ -31,8 +33,8 @@ from weft.operators.components import connected_components
 MOST = 6
 #: Cost of verifying a candidate against that of matching a token.
 VERIFY_COST = 30
-STAR_ROUNDS = 3
-SKETCH_BITS, BLOCK_BITS = 20, 14
+STAR_ROUNDS = 2
+SKETCH_BITS, BLOCK_BITS = 22, 16
 _U = np.uint64
 
 
@@ -54,18 +56,20 @@ def document_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     """log2 of the number of documents with a token in each of 2**SKETCH_BITS cells, over all documents."""
     blocks, width = 1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS
-    schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("block", pa.int32()), ("bytes", pa.int32()), ("counts", pa.binary())])
 
     def rows(counts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         if counts:
-            yield pa.record_batch([pa.array(list(counts), pa.int32()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], schema=schema)
+            # As narrow as the largest count of a block allows.
+            small = [c.astype(np.min_scalar_type(int(c.max()))) for c in counts.values()]
+            yield pa.record_batch([pa.array(list(counts), pa.int32()), pa.array([c.itemsize for c in small], pa.int32()), pa.array([c.tobytes() for c in small], pa.binary())], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             for s in document_sets(b.column(0), n):
                 if total is None:
-                    total = np.zeros(1 << SKETCH_BITS, np.int64)
+                    total = np.zeros(1 << SKETCH_BITS, np.uint32)
                 np.add.at(total, (s >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
         if total is not None:
             yield from rows({k: part for k, part in enumerate(total.reshape(blocks, width))})
@@ -73,11 +77,11 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(c, np.int64)
+            for k, size, c in zip(*(b.column(i).to_pylist() for i in range(3))):
+                total[k] = total.get(k, np.uint64(0)) + np.frombuffer(c, f"u{size}").astype(np.uint64)
         yield from rows({k: np.log2(c + 1.0).astype(np.uint8) for k, c in total.items()})
 
-    made = docs.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
+    made = docs.select("text").mapInArrow(count, "block int, bytes int, counts binary").repartition("block").mapInArrow(add, "block int, bytes int, counts binary")
     levels = np.zeros((blocks, width), np.uint8)
     for r in made.collect():  # 2**SKETCH_BITS bytes, whatever the corpus
         levels[r["block"]] = np.frombuffer(r["counts"], np.uint8)
@@ -111,6 +115,18 @@ def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
     return docs.mapInArrow(per_batch(batch), "doc_id bigint, n_tokens bigint, s1 bigint, s2 bigint, prefix array<bigint>")
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """Six bytes a shingle: two sets of a thousand have one wrong match in 280 million such pairs."""
+    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view("<u8").reshape(-1)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (x, y), those whose sets have percent of their union in common."""
     left = sets.select(F.col("rep").alias("x"), F.col("tokens").alias("tx"))
@@ -120,7 +136,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         good = []
         for tx, ty in zip(b.column("tx"), b.column("ty")):
-            p, q = np.frombuffer(tx.as_buffer(), np.uint64), np.frombuffer(ty.as_buffer(), np.uint64)
+            p, q = _unpacked(tx.as_buffer()), _unpacked(ty.as_buffer())
             both = np.concatenate([p, q])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
@@ -134,7 +150,7 @@ def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     """Return one row per input row: row_id, n_shingles, component_id (least id reachable by links, itself included).
 
     Words are runs of anything but space and U+0009 to U+000D, with A-Z lower-cased; shingles are runs of n words, compared by 64-bit
-    hashes (of which verification uses 56). Rows link when 100 * intersection >= percent * union. Null, empty and wordless texts have no
+    hashes (of which verification uses 48). Rows link when 100 * intersection >= percent * union. Null, empty and wordless texts have no
     shingles and link with nothing. Rows that repeat an id are one vertex; rows without id link with nothing
     unless an equal text has one. An empty table gives an empty result; other columns aren't read.
     """
@@ -142,22 +158,30 @@ def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     tune(spark)
     save = lambda df: materialize(df, "ngram")
     rows = docs.select(F.col(row_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    prefixes = save(_prefixes(rows, n, percent, _sketch(rows, n)))
+    levels = _sketch(rows, n)
+    release(spark)
+    prefixes = save(_prefixes(rows, n, percent, levels))
+    narrow = save(prefixes.select("doc_id", "n_tokens", "s1", "s2"))
     classes = save(prefixes.where("n_tokens > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = prefixes.join(classes, ["s1", "s2"]).where("doc_id = rep").select("rep", "n_tokens", "prefix").dropDuplicates(["rep", "n_tokens", "prefix"])
     # level: the least extension whose prefix holds the token.
     unextended = F.col("n_tokens") - F.ceil(F.lit(percent) * F.col("n_tokens") / 100)
-    tokens = save(reps.select("rep", "n_tokens", F.posexplode("prefix").alias("pos", "token")).select("rep", "n_tokens", "token", F.greatest(F.lit(1), F.col("pos") + 1 - unextended).cast("int").alias("level")))
-    shared = tokens
+    reps = save(reps)
+    release(spark, prefixes)
+    shared = reps.select("rep", "n_tokens", F.posexplode("prefix").alias("pos", "token")).select("rep", "n_tokens", "token", F.col("pos").cast("bigint").alias("pos"), F.greatest(F.lit(1), F.col("pos") + 1 - unextended).cast("int").alias("level"))
     for _ in range(2):  # a class needs l shared tokens in each prefix l; without some, tokens of others fall away
         counts = save(shared.groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 1"))
-        shared = shared.drop("cnt").join(counts, "token")
+        release(spark)
+        shared = save(shared.drop("cnt").join(counts, "token"))
+        release(spark)
         possible = shared.groupBy("rep").agg(*[F.count(F.when(F.col("level") <= k, 1)).alias(f"n{k}") for k in range(1, MOST + 1)], F.max("n_tokens").alias("nt"))
         # An extension can't ask for more tokens than a partner must have in common.
         enough = F.lit(True)
         for k in range(1, MOST + 1):
             enough = enough & ((F.col(f"n{k}") >= k) | (F.col("nt") < 2 * MOST))
-        shared = save(shared.join(save(possible.where(enough & (F.col("n1") > 0)).select("rep")), "rep", "left_semi").select("rep", "n_tokens", "token", "level", "cnt"))
+        whole, shared = shared, save(shared.join(save(possible.where(enough & (F.col("n1") > 0)).select("rep")), "rep", "left_semi").select("rep", "n_tokens", "token", "pos", "level", "cnt"))
+        release(spark, whole)
+    release(spark, reps)
     cost = [F.sum(F.when(F.col("level") <= k, F.col("cnt") - 1).otherwise(0)) * (1 + VERIFY_COST / k) for k in range(1, MOST + 1)]
     chosen = shared.groupBy("rep").agg(F.max("n_tokens").alias("nt"), F.array(*[F.struct(c.alias("cost"), F.lit(k).alias("l")) for k, c in enumerate(cost, 1)]).alias("costs"))
     chosen = save(chosen.select("rep", F.when(F.col("nt") < 2 * MOST, F.lit(1)).otherwise(F.array_min("costs")["l"]).alias("l")))
@@ -167,24 +191,27 @@ def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     texts = rows.join(wanted, "doc_id", "left_semi")
 
     def as_sets(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.sort(s >> _U(8)).tobytes() for s in document_sets(b.column("text"), n)]
+        sets = [_packed(s) for s in document_sets(b.column("text"), n)]
         return pa.record_batch([b.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "tokens"])
 
     sets = save(texts.mapInArrow(per_batch(as_sets), "rep bigint, tokens binary"))
+    release(spark)
 
     links = None
     labels = chosen.select(F.col("rep").alias("id"), F.col("rep").alias("component"))
     for k in range(STAR_ROUNDS):
         at = shared.join(labels.withColumnRenamed("id", "rep"), "rep")
-        key = F.struct("n_tokens", "rep", "component") if k == 0 else F.struct(F.xxhash64("component", F.lit(k)), F.col("rep"), F.col("component"))
-        pivots = save(at.groupBy("token").agg(F.min(key).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", F.col("p.rep").alias("y"), F.col("p.component").alias("yc")))
-        star = at.join(pivots, "token").where("component <> yc").groupBy(F.col("rep").alias("x"), "y").agg(F.count("*").alias("c"))
+        key = F.struct("n_tokens", "rep", "component") if k == 0 else F.struct(F.xxhash64("component", F.lit(k)), F.col("rep"), F.col("component"), F.col("n_tokens"))
+        pivots = save(at.groupBy("token").agg(F.min(key).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", F.col("p.rep").alias("y"), F.col("p.component").alias("yc"), F.col("p.n_tokens").alias("yn")))
+        sized = (F.lit(100) * F.least("n_tokens", "yn") >= F.lit(percent) * F.greatest("n_tokens", "yn")) & (F.col("component") != F.col("yc"))
+        star = at.join(pivots, "token").where(sized).groupBy(F.col("rep").alias("x"), "y").agg(F.count("*").alias("c"))
         star = save(star.groupBy("x").agg(F.max(F.struct("c", "y")).alias("best")).select("x", F.col("best.y").alias("y")))
         found = save(_verified(star, sets, percent))
+        release(spark)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        labels = _labels(chosen, links, save)
+        labels = save(_hooked(labels, found))
 
     # The exact join: x asks, y is not larger; their size classes are equal or neighbours.
     at = shared.join(labels.withColumnRenamed("id", "rep"), "rep")
@@ -192,18 +219,36 @@ def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     # A little wider than the size filter, so that rounding can't part sizes at its edge.
     base = F.floor(F.log(F.col("n_tokens").cast("double")) / float(max(-np.log(percent / 100.0), 1e-3) * 1.001)).cast("int")
     at = save(at.join(mixed, "token").withColumn("band", base))
-    asks = at.select("token", F.col("rep").alias("x"), F.col("n_tokens").alias("nx"), F.col("level").alias("lx"), "l", F.col("component").alias("cx"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
-    holds = at.select("token", F.col("rep").alias("y"), F.col("n_tokens").alias("ny"), F.col("level").alias("ly"), F.col("component").alias("cy"), "band")
-    matched = asks.join(holds, ["token", "band"]).where("cx <> cy and (nx > ny or (nx = ny and x > y)) and lx <= l and ly <= l").where(F.lit(100) * F.col("ny") >= F.lit(percent) * F.col("nx"))
+    asks = at.select("token", F.col("rep").alias("x"), F.col("n_tokens").alias("nx"), F.col("pos").alias("px"), F.col("level").alias("lx"), "l", F.col("component").alias("cx"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    holds = at.select("token", F.col("rep").alias("y"), F.col("n_tokens").alias("ny"), F.col("pos").alias("py"), F.col("level").alias("ly"), F.col("component").alias("cy"), "band")
+    # What this pair has to have in common, by both sizes, leaves shorter prefixes than each size alone.
+    common = F.floor((F.lit(percent) * (F.col("nx") + F.col("ny")) + (99 + percent)) / (100 + percent))
+    fits = (F.lit(100) * F.col("ny") >= F.lit(percent) * F.col("nx")) & (F.col("px") < F.col("nx") - common + F.col("l")) & (F.col("py") < F.col("ny") - common + F.col("l"))
+    matched = asks.join(holds, ["token", "band"]).where("cx <> cy and (nx > ny or (nx = ny and x > y)) and lx <= l and ly <= l").where(fits)
     pairs = matched.groupBy("x", "y", "l").agg(F.count("*").alias("c")).where("c >= l").select("x", "y")
-    rest = save(_verified(save(pairs), sets, percent))
+    pairs = save(pairs)
+    release(spark)
+    rest = save(_verified(pairs, sets, percent))
+    release(spark, sets)
     links = rest if links is None else links.unionByName(rest)
     labels = _labels(chosen, links, save)
     grouped = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = prefixes.select("doc_id", "n_tokens", "s1", "s2").join(save(grouped), ["s1", "s2"], "left")
+    out = narrow.join(save(grouped), ["s1", "s2"], "left")
     return out.select(F.col("doc_id").alias(row_id), F.col("n_tokens").alias("n_shingles"), F.when(F.col("n_tokens") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _hooked(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after each one with a link to a smaller label takes the least of those, and that one's too.
+
+    Equal labels stay a proof that two classes are connected; that all connected ones agree is not needed here.
+    """
+    lx, ly = labels.toDF("x", "cx"), labels.toDF("y", "cy")
+    ends = found.join(lx, "x").join(ly, "y").where("cx <> cy").select(F.greatest("cx", "cy").alias("component"), F.least("cx", "cy").alias("to"))
+    least = ends.groupBy("component").agg(F.min("to").alias("to"))
+    twice = least.join(least.toDF("to", "further"), "to", "left").select("component", F.coalesce("further", "to").alias("to"))
+    return labels.join(twice, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+
+
 def _labels(chosen: DataFrame, links: DataFrame, save) -> DataFrame:  # noqa: ANN001
     found = connected_components(links, save, "x", "y")
     return save(chosen.select(F.col("rep").alias("id")).join(save(found), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
