@@ -263,6 +263,8 @@ def test_passages(spark, docs, corpus, empty):
     assert set(shared) == {13}
     a, b = got[13]["passages"]
     assert a <= 60 and b >= 130 and b - a < 80
+    hot = {r["doc_id"]: (r["n_passages"], r["class_id"]) for r in passages.near_passages(docs, hot=1).collect()}
+    assert hot == {i: (r["n_passages"], r["class_id"]) for i, r in got.items()}
     assert passages.near_passages(empty).count() == 0
 
 
