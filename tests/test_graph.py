@@ -87,6 +87,15 @@ def test_paths_and_centralities(graph):
     assert sum(r["pagerank"] for r in ranks) == pytest.approx(1.0)
 
 
+def test_closeness_query_has_no_cutoff(graph, spark, monkeypatch):
+    from weft.plans import queries
+
+    monkeypatch.setattr(queries, "suppliers", lambda spark, sf_dir: graph([(2 * k, 2 * k + 1) for k in range(1001)]))
+    close = queries.closeness(spark, "").collect()
+    assert len(close) == 2002
+    assert {r["closeness"] for r in close} == {round(1 / 2001, 8)}
+
+
 def test_isolated_and_empty(graph, spark):
     nodes = spark.createDataFrame([(0,), (1,), (2,), (9,)], "id bigint")
     r = one(A.degree_stats(graph(TRIANGLE), nodes))

@@ -353,7 +353,7 @@ CLOSE = "close AS (SELECT s AS id, CASE WHEN sum(d) > 0 THEN (CAST(count(*) - 1
 
 @register("closeness", sql(SUPPLIERS, ADJ, NODES, PATHS, CLOSE, final="SELECT id, round(closeness, 8) AS closeness FROM close", recursive=True))
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.closeness(save(suppliers(spark, sf_dir)), save))
+    return rounded(A.closeness(save(suppliers(spark, sf_dir)), save, most_nodes=None))
 
 
 @register("closeness_cutoff", sql(PARTS, ADJ, NODES, final="SELECT id, 0.0::DOUBLE AS closeness FROM nodes"))
