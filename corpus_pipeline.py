@@ -2,16 +2,32 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. The first four return
 documents' columns; the last adds what the mix takes of each document.
+
+Operators decide about rows, by a key that a stage gives to each (ROW): ids may be null or repeated. A null id
+comes after all others where the smallest one stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm import decontaminate, exact_dedup, langid, mixing, ngram_join
-from weft.llm.common import release, scratch, table
+from weft.llm.common import materialize, release, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ROW = "row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of their own for each row, saved, as a recomputation could change it."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "keyed")
+
+
+def _firsts(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Of each group the row with the smallest id; of equal ids that with the first text, of equal rows one."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.sha2("text", 256).alias("digest"), ROW)
+    return docs.select(ROW, order.alias("place")).join(groups.select(ROW, group), ROW).groupBy(group).agg(F.min("place").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,26 +43,35 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keep the document with the smallest id; of repeated rows one."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    docs = _keyed(docs)
+    groups = exact_dedup.exact_dedup(docs, row_id=ROW)
+    return docs.join(_firsts(docs, groups, "keep_id"), ROW, "left_semi").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 keep the one with the smallest id."""
-    groups = ngram_join.jaccard_components(docs, n=5, percent=80)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    docs = _keyed(docs)
+    groups = ngram_join.jaccard_components(docs, row_id=ROW, n=5, percent=80)
+    return docs.join(_firsts(docs, groups, "component_id"), ROW, "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of the benchmark."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*COLUMNS)
+    docs = _keyed(docs)
+    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), row_id=ROW).select(ROW).distinct()
+    return docs.join(hits, ROW, "left_anti").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix with their words, the words taken and the epochs; those that it doesn't take go."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken", "epochs")
-    return docs.join(taken, "doc_id").select(*COLUMNS, "size", "source_size", "target", "taken", "epochs")
+    """Documents of the mix with their words, the words taken and the epochs; those that it doesn't take go.
+
+    The order is by MD5 of the id, as in mixing.mix; rows of equal id go by words and then by text.
+    """
+    docs = _keyed(docs)
+    words = F.lpad(mixing.word_count("text").cast("string"), 12, "0")
+    order = F.concat(F.md5(F.concat(F.lit("mix|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), words, F.sha2(F.coalesce("text", F.lit("")), 256))
+    taken = mixing.mix(docs, row_id=ROW, key=order).where("taken > 0").select(ROW, "size", "source_size", "target", "taken", "epochs")
+    return docs.join(taken, ROW).select(*COLUMNS, "size", "source_size", "target", "taken", "epochs")
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("decontaminate", decontaminated), ("mix", mixed)]

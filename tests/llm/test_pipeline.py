@@ -67,3 +67,27 @@ def test_stage_columns(spark, tables):
         out = stage(spark, empty, folder)
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty, folder).count() == 0
+
+
+def test_null_and_repeated_ids(spark, tables):
+    """Stages decide about rows: a null id loses nothing, a repeated one brings nothing back."""
+    folder, rows, items = tables
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(n))
+    a, b, c, d, e = (say(80) for _ in range(5))
+    docs = lambda *x: spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in x], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = lambda stage, *x: sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs(*x), folder).collect()), key=str)
+    want = lambda *x: sorted(x, key=str)
+    # Document 7 has a text of its own, and a copy of document 3's; the rows without id have c and, twice, d.
+    given = (3, a), (7, a), (7, b), (None, c), (None, d), (None, d), (None, a)
+    assert out(corpus_pipeline.exact, *given) == want((3, a), (7, b), (None, c), (None, d))
+    edited = a.split()
+    edited[40] = "edit"
+    edited = " ".join(edited)
+    assert out(corpus_pipeline.near, (3, a), (7, edited), (7, b), (None, c), (None, d)) == want((3, a), (7, b), (None, c), (None, d))
+    assert out(corpus_pipeline.near, (None, a), (7, edited)) == want((7, edited))
+    held = e + " " + items[0][1] + " " + e
+    assert out(corpus_pipeline.decontaminated, (7, held), (7, b), (None, held), (None, c)) == want((7, b), (None, c))
+    mixed = corpus_pipeline.mixed(spark, docs((7, b), (7, a), (None, c), (None, d)), folder).collect()
+    assert want(*((r["doc_id"], r["text"]) for r in mixed)) == want((7, b), (7, a), (None, c), (None, d))
+    assert sum(r["taken"] for r in mixed) == int(mixed[0]["target"])

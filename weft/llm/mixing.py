@@ -67,19 +67,18 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("row_id"), batch.column("src"), batch.column("size"), batch.column("part"), pa.array(before, pa.int64())], schema=_SCHEMA)
 
 
-def mix(docs: DataFrame, row_id: str = "doc_id", source: str = "source", size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, row_id: str = "doc_id", source: str = "source", size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", key: Column | None = None) -> DataFrame:
     """Return one row per input row: row_id, source, size, source_size, target, taken, epochs.
 
     size: the row's tokens, default the words of its text. Sources take the weights in turn in code point
     order, null last. The mix holds `share` times all tokens. taken: the row's tokens in the mix, repeats
     counted, so each source's taken tokens are its target rounded down; the row at the cut is taken in part.
     epochs: times the row occurs in the mix, a part counting as one. Null texts have size 0 and take nothing. The key is an MD5 of seed and id,
-    so reruns agree; rows of equal id are ordered by size. A null id counts as an empty string. An empty table
-    gives an empty result.
+    so reruns agree; rows of equal id are ordered by size. A null id counts as an empty string. Another key, a
+    string, can take its place. An empty table gives an empty result.
     """
     tune(docs.sparkSession)
-    rows = docs.select(F.col(row_id).alias("row_id"), F.col(source).alias("src"), (size if size is not None else word_count("text")).alias("size"))
-    rows = rows.withColumn("key", F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("row_id").cast("string"), F.lit("")))))
+    rows = docs.select(F.col(row_id).alias("row_id"), F.col(source).alias("src"), (size if size is not None else word_count("text")).alias("size"), (key if key is not None else F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))))).alias("key"))
     ordered = rows.repartitionByRange(F.col("src").asc_nulls_last(), "key", "row_id", "size").sortWithinPartitions(F.col("src").asc_nulls_last(), "key", "row_id", "size")
     ordered = ordered.withColumn("part", F.spark_partition_id())
     schema = "row_id bigint, src string, size bigint, part int, before bigint"
