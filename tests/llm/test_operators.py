@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -268,6 +269,15 @@ def test_passages(spark, docs, corpus, empty):
     assert passages.near_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 8, 9, 50])
+def test_unite_many_copies(copies):
+    """Four centres of a passage of document 1, each paired with every copy in document 2."""
+    rows = [(1, 0, c, 45, 2, 200 * k, 200 * k + c, 200 * k + 45) for c in (10, 20, 30, 40) for k in range(copies)]
+    batch = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], schema=passages._PAIR)
+    got = [r for b in passages._united(46)(iter([batch])) for r in zip(*b.to_pydict().values())]
+    assert sorted(got) == [(1, 0, 46, 2, 200 * k, 200 * k + 46) for k in range(copies)]
+
+
 def test_compact_windows():
     rng = np.random.default_rng(4)
     code = rng.integers(0, 1 << 63, 300).astype(np.uint64)
