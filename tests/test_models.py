@@ -76,3 +76,21 @@ def test_embeddings(spark):
     assert got[999]["emb_cosine_sim"] == 0 and got[999]["emb_dot_product"] == 0
     probs = E.transition_probs(k, 0.5, 2.0).groupBy("prev", "curr").agg(F.sum("prob").alias("s"))
     assert probs.where("abs(s - 1) > 1e-9").count() == 0
+
+
+def test_leaderboard_takes_all_models_and_features(spark, graph, monkeypatch):
+    from weft.plans import queries
+
+    taken = {}
+
+    def score_all(models, train, test):
+        taken.update(models=set(models), columns=models["random_forest"].columns if "random_forest" in models else [], train=train)
+        return test.select(F.lit("m").alias("model"), "u", "v", "label", F.lit(0.5).alias("score"))
+
+    monkeypatch.setattr(queries, "suppliers", lambda spark, sf_dir: src.karate(spark))
+    monkeypatch.setattr(M, "score_all", score_all)
+    queries.leaderboard(spark, "").collect()
+    assert taken["models"] == set(M.zoo(["x"])) and len(taken["models"]) == 11
+    assert len(taken["columns"]) == 28 and set(taken["columns"]) <= set(taken["train"].columns)
+    row = taken["train"].agg(*[F.count_distinct(c).alias(c) for c in taken["columns"]]).first()
+    assert min(row[c] for c in ("pagerank_product", "closeness_product", "same_community", "emb_cosine_sim", "emb_hadamard_7")) > 1
