@@ -54,6 +54,38 @@ def components(rows: list[tuple], n: int, percent: int) -> dict:
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def fit_edits(item: list, passage: list) -> int:
+    """Least edits that turn item into any run of passage."""
+    row = [0] * (len(passage) + 1)
+    for x in item:
+        new = [row[0] + 1]
+        for j, y in enumerate(passage, 1):
+            new.append(min(row[j] + 1, row[j - 1] + (x != y), new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def edit_distance(a: list, b: list) -> int:
+    row = list(range(len(b) + 1))
+    for x in a:
+        new = [row[0] + 1]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, row[j - 1] + (x != y), new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def local_score(a: list, b: list) -> int:
+    """Smith-Waterman with match 2, mismatch and gap -1."""
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(max(0, row[j] - 1, row[j - 1] + (2 if x == y else -1), new[-1] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
 def repeated_windows(rows: list[tuple], n: int = 50) -> set:
     """Ids of documents that share a run of n words with another one."""
     where = defaultdict(set)

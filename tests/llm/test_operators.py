@@ -211,6 +211,47 @@ def test_align():
     assert (score, matches, extra, first, end) == (7, 4, 0, 1, 6)
 
 
+def test_fit_and_align_against_plain_tables():
+    rng = random.Random(1)
+    for _ in range(400):
+        item = [rng.randrange(4) for _ in range(rng.randrange(1, 9))]
+        passage = [rng.randrange(5) for _ in range(rng.randrange(12))]
+        a, b = np.array(item, np.uint64), np.array(passage, np.uint64)
+        edits, first, end = decontaminate.fit(a, b)
+        assert edits == brute.fit_edits(item, passage) == brute.edit_distance(item, passage[first:end])
+        assert decontaminate.align(a, b)[0] == brute.local_score(item, passage)
+
+
+def test_decontaminate_clustered_edits(spark):
+    """A fifth of an item's words substituted, dropped or put in, side by side, at every place of it."""
+    rng = random.Random(6)
+    items = [(k, prose(rng, n)) for k, n in enumerate((5, 6, 10, 20, 40))]
+    rows, want = [], set()
+    for k, text in items:
+        w = text.split()
+        e = len(w) // 5
+        for at in range(len(w) - e + 1):
+            for changed in (["new"] * e, [], ["new"] * e + w[at : at + e]):
+                rows.append((len(rows), " ".join(["before", "it", *w[:at], *changed, *w[at + e :], "after", "it"])))
+                want.add((rows[-1][0], k))
+        rows.append((len(rows), " ".join(["new"] * (2 * e + 1) + w[2 * e + 1 :])))  # too many edits
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame, known).collect()}
+    assert got == want
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame, known, block_chars=40).collect()} == want
+
+
+def test_decontaminate_null_and_repeated_ids(spark):
+    rng = random.Random(7)
+    item = prose(rng, 20)
+    rows = [(None, "x " + item), (None, "x " + item), (4, item), (4, item), (4, "x"), (5, prose(rng, 300_000) + " " + item)]
+    known = spark.createDataFrame([(1, item), (1, item), (None, item)], "item_id bigint, text string")
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("similarity", F.lit("clash"))
+    got = sorted(((r["doc_id"] or -1, r["item_id"] or -1) for r in decontaminate.contaminated(frame, known).collect()))
+    assert got == sorted((d, i) for d in (-1, -1, 4, 4, 5) for i in (1, 1, -1))
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_ngram_join(spark, docs, corpus, empty, n, percent):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, n=n, percent=percent).collect()}

@@ -1,12 +1,17 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-An item of L words with at most a fifth of them edited keeps at least t = (L - 2) - 3 * floor(L / 5) of its
-trigrams, so any L - 2 - t + 1 of them hold one that is kept. The rarest in the corpus are the item's seeds:
-exact counts over all documents pick them. Where a document has a seed, the passage around it is a candidate;
-one that has t of the item's trigrams is aligned word by word, which scores edited and paraphrased copies.
-
-Benchmarks are small beside a corpus: they go to the executors in blocks of bounded size, each a stated
-query set against all documents. Documents are read in place, twice a block, without any shuffle but that of
+An item of L words with at most e edited (substituted, dropped or put in) keeps at least t = (L - n + 1) - n * e of
+its n-grams, so any L - n + 1 - t + 1 of them hold one that is kept. n is three words where that leaves t at 1 or more,
+else two or one. The rarest n-grams in the corpus are the item's seeds: exact counts over all documents pick them. Where a
+document has a seed, the passage around it is a candidate; one that has t of the item's n-grams is aligned word
+by word.
+
+Smith-Waterman scores the alignment: a copy with e edits scores 2 * L - 3 * e at least, so less is no copy. Being local,
+it leaves out words beside an item's ends where edits cluster, so it can't count the edits: that is done by fitting
+the whole item into the passage, for which every word of it counts.
+
+Benchmarks are small beside a corpus: they go to the executors in blocks of bounded items and characters, each a
+stated query set against all documents. Documents are read in place, twice a block, without any shuffle but that of
 the seeds' counts.
 """
 
@@ -20,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import tune
+from weft.llm.common import materialize, tune
 from weft.llm.textnum import LOWER, Words, chunks, run_hash, utf8, words
 
 SIMILARITY = 0.8
-#: Items that go to the executors at once, and characters of them; larger benchmarks take more passes.
-BLOCK_ITEMS = 20_000
+#: Items that go to the executors at once, and characters of them (a single longer item goes alone); larger
+#: benchmarks take more passes.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 SEED = 3
 
 # Words are runs of ASCII letters and digits and of other characters: punctuation can't hide a copy.
@@ -58,12 +64,14 @@ class Items:
         codes = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
         length = np.array([len(c) for c in codes], np.int64)
         edits = np.floor(length * (1 - similarity) + 1e-9).astype(np.int64)
-        size = np.minimum(length, SEED)
-        need = np.maximum(1, length - size + 1 - size * edits)
+        size = np.ones(len(length), np.int64)
+        for n in range(2, SEED + 1):
+            size[length - n + 1 - n * edits >= 1] = n
+        need = length - size + 1 - size * edits
         grams = {}
         for n in range(1, SEED + 1):
             of, at = [], []
-            for i in np.flatnonzero(size == n):
+            for i in np.flatnonzero((size == n) & (length > 0)):
                 k = int(length[i] - n + 1)
                 of.append(np.full(k, i))
                 at.append(np.arange(k))
@@ -86,32 +94,57 @@ class Items:
             self.seed[n] = seed
 
 
+def _along(row: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """row after gaps within it, each place costing step, and from which place each value comes."""
+    ramp = np.arange(len(row), dtype=row.dtype) * step
+    best = np.maximum.accumulate(row + ramp)
+    return best - ramp, np.maximum.accumulate(np.where(row + ramp == best, np.arange(len(row)), 0))
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, int]:
     """Smith-Waterman over words (match 2, mismatch and gap -1): score, matches, extra words, first and end word.
 
     Extra words are those of the passage between matches that the item lacks at that place. A row of the
-    matrix is one step: gaps within it are a running maximum.
+    matrix is one step, and only the last one is kept: what is known of a cell's alignment travels with it.
     """
-    n, m = len(item), len(passage)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        row = np.maximum(table[i - 1] - 1, 0)
-        np.maximum(row[1:], table[i - 1, :-1] + np.where(passage == item[i - 1], 2, -1), out=row[1:])
-        table[i] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    score, end, matches, extra = int(table[i, j]), int(j), 0, 0
-    while i > 0 and j > 0 and table[i, j] > 0:
-        same = item[i - 1] == passage[j - 1]
-        if table[i, j] == table[i - 1, j - 1] + (2 if same else -1):
-            matches += bool(same)
-            i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] - 1:
-            i -= 1
-        else:
-            extra += 1
-            j -= 1
-    return score, matches, extra, int(j), end
+    m = len(passage)
+    score, seen = np.zeros(m + 1, np.int32), np.zeros((3, m + 1), np.int32)  # matches, extra, first word
+    seen[2] = np.arange(m + 1)
+    best = (0, 0, 0, 0, 0)
+    for word in item:
+        same = passage == word
+        diagonal, above = score[:-1] + np.where(same, 2, -1), score - 1
+        row, kept = np.maximum(above, 0), seen.copy()
+        kept[:2, above <= 0] = 0
+        kept[2, above <= 0] = np.flatnonzero(above <= 0)
+        better = np.flatnonzero(diagonal >= row[1:])
+        fresh = better[diagonal[better] > 0]
+        row[1:][better] = diagonal[better]
+        kept[:, fresh + 1] = seen[:, fresh]
+        kept[0, fresh + 1] += same[fresh]
+        score, source = _along(row, 1)
+        seen = kept[:, source]
+        seen[1] += np.arange(m + 1, dtype=np.int32) - source.astype(np.int32)
+        j = int(score.argmax())
+        if score[j] > best[0]:
+            best = (int(score[j]), int(seen[0, j]), int(seen[1, j]), int(seen[2, j]), j)
+    return best
+
+
+def fit(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
+    """Least edits that turn the whole item into a run of the passage, and that run's first and end word."""
+    m = len(passage)
+    cost, first = np.zeros(m + 1, np.int32), np.arange(m + 1)
+    for word in item:
+        diagonal = cost[:-1] + (passage != word)
+        row, start = cost + 1, first.copy()
+        better = np.flatnonzero(diagonal <= row[1:])
+        row[1:][better] = diagonal[better]
+        start[better + 1] = first[better]
+        low, source = _along(-row, 1)
+        cost, first = -low, start[source]
+    j = int(cost.argmin())
+    return int(cost[j]), int(first[j]), j
 
 
 def _hits(codes: np.ndarray, first: np.ndarray, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,15 +185,19 @@ def _near(items: Items, w: Words) -> Iterator[tuple[int, int, int, int, int, int
             for s in np.unique(begin[seeds[a:b]]):
                 if s <= done:
                     continue
-                # All starts that edits can shift this one to; the last of them widens the passage.
+                # All starts that edits can shift this one to. The passage holds every copy with a seed that starts
+                # up to s + slack, as its begin and end lie within slack of what its seed says.
                 x, y = np.searchsorted(begin, s - 2 * slack), np.searchsorted(begin, s + 2 * slack, "right")
                 done = s + slack
                 if len(np.unique(entry[a + x : a + y])) < need:
                     continue
                 p, q = max(int(w.first[d]), int(s) - 2 * slack), min(int(w.first[d + 1]), int(s) + length + 3 * slack)
-                score, matches, extra, f, e = align(items.codes[i], w.hash[p:q])
-                if length - matches + extra <= slack and (best is None or (matches - extra, score) > best[0]):
-                    best = (matches - extra, score), score, matches - extra, p + f - int(w.first[d]), p + e - int(w.first[d])
+                score = align(items.codes[i], w.hash[p:q])[0]
+                if score < 2 * length - 3 * slack:
+                    continue
+                edits, f, e = fit(items.codes[i], w.hash[p:q])
+                if edits <= slack and (best is None or (length - edits, score) > best[0]):
+                    best = (length - edits, score), score, length - edits, p + f - int(w.first[d]), p + e - int(w.first[d])
             if best is not None:
                 yield d, i, best[1], best[2], best[3], best[4]
 
@@ -168,31 +205,56 @@ def _near(items: Items, w: Words) -> Iterator[tuple[int, int, int, int, int, int
 _OUT = "row_id bigint, item_id bigint, similarity double, score bigint, first_word bigint, end_word bigint"
 
 
-def contaminated(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _blocks(known: DataFrame, most_items: int, most_chars: int) -> Iterator[list]:
+    """The items in blocks within both bounds, fetched a partition at a time, in an order of their own."""
+    block, chars = [], 0
+    for r in known.orderBy("item_id", "text").toLocalIterator():
+        if block and (len(block) == most_items or chars + len(r["text"]) > most_chars):
+            yield block
+            block, chars = [], 0
+        block.append(r)
+        chars += len(r["text"])
+    if block:
+        yield block
+
+
+def contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    row_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    similarity: float = SIMILARITY,
+    block_items: int = BLOCK_ITEMS,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
     """Return one row per row and benchmark item that it holds a copy of: row_id, item_id, similarity, score, first_word, end_word.
 
-    similarity: 1 - edits / L, with L the item's words and edits those of the best local alignment (item words
-    not matched, and extra words between matches); at least the threshold. score: Smith-Waterman's. Words are
-    lower-cased runs of letters and digits, so case and punctuation don't matter; first_word and end_word
-    place the best passage. Null and empty texts and items match nothing; items of under five words have to
-    occur exactly; repeated rows and repeated items are reported each; null ids pass through. Empty tables give an
-    empty result; other columns aren't read.
+    similarity: 1 - edits / L, with L the item's words and edits the least number of words put in, dropped or
+    substituted that turns the item into a run of the document's words; at least the threshold. score: Smith-Waterman's,
+    of that passage. Words are lower-cased runs of letters and digits, so case and punctuation don't matter;
+    first_word and end_word place the best passage. Null and empty texts and items match nothing; items too short for
+    an edit within the threshold (under five words at 0.8) have to occur exactly; repeated rows and repeated items
+    are reported each; null ids pass through. Empty tables give an empty result; other columns aren't read.
     """
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(text).alias("text"))
     known = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("text is not null and text <> ''")
-    blocks = max(1, -(-known.count() // block_items))
-    out = None
-    for k in range(blocks):
-        block = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        block.sort(key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))
-        found = _block(rows, Items.of([r["item_id"] for r in block], [r["text"] for r in block], similarity))
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnsRenamed({"row_id": row_id, "item_id": item_id})
-
-
-def _block(rows: DataFrame, items: Items) -> DataFrame:
+    out, held = None, None
+    for block in _blocks(known, block_items, block_chars):
+        # Of several blocks each is finished before the next is fetched: the driver holds one.
+        if held is not None:
+            done = materialize(_block(rows, held, similarity), "benchmark")
+            out = done if out is None else out.unionByName(done)
+        held = block
+    last = _block(rows, held or [], similarity)
+    return (last if out is None else out.unionByName(last)).withColumnsRenamed({"row_id": row_id, "item_id": item_id})
+
+
+def _block(rows: DataFrame, block: list, similarity: float) -> DataFrame:
+    items = Items.of([r["item_id"] for r in block], [r["text"] for r in block], similarity)
     tables = {n: np.unique(code) for n, (code, _, _) in items.grams.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
