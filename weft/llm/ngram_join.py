@@ -11,14 +11,16 @@ The order comes from a count sketch of fixed size over all documents: a larger c
 alike. Any order gives the same links; a good one gives fewer candidates.
 
 Documents with equal token sets are one class. What is wanted is the components of the link graph, so pairs inside
-one known component need no check: rounds of star links (each class with the best of its tokens' pivots)
-join large groups of near copies in a number of checks that is linear in the group, then an exact join
-takes all pairs of classes that lie in different components and pass the prefix and size filters.
+one known component need no check. Rounds of star links come first: each class is compared with the best of its
+tokens' pivots, and a token's pivot is the class whose tokens are the most frequent ones on average, as an original
+is among its edited copies. A round is linear in the postings. An exact join then takes all pairs of classes that
+lie in different components and pass the prefix and size filters; the l of each class is chosen for what is left to
+match then, so it does not grow with a group that is one component already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,11 @@ from weft.operators.components import connected_components
 MOST = 6
 #: Cost of verifying a candidate against that of matching a token.
 VERIFY_COST = 30
-STAR_ROUNDS = 2
+#: Star rounds go on while one in so many of the pairs that they try is a link; the join does the rest.
+STAR_YIELD, STAR_ROUNDS = 20, 8
 SKETCH_BITS, BLOCK_BITS = 22, 16
 _U = np.uint64
+Save = Callable[[DataFrame], DataFrame]
 
 
 def document_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -98,33 +102,23 @@ def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
     one, two = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        size, s1, s2, flat, offsets = [], [], [], [], [0]
+        size, s1, s2, central, flat, offsets = [], [], [], [], [], [0]
         for s in document_sets(b.column("text"), n):
             k = len(s)
             size.append(k)
             s1.append(int(mix64(s ^ one).sum(dtype=np.uint64).astype(np.int64)))
             s2.append(int(mix64(s ^ two).sum(dtype=np.uint64).astype(np.int64)))
             keep = min(k, k - -(-percent * k // 100) + MOST)
+            tokens = _tokens(s, levels)
+            central.append(float((tokens >> _U(56)).mean()) if k else 0.0)
             if k:
-                flat.append(_tokens(s, levels)[:keep])
+                flat.append(tokens[:keep])
             offsets.append(offsets[-1] + (keep if k else 0))
         values = np.concatenate(flat).astype(np.int64) if flat else np.zeros(0, np.int64)
         prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
-        return pa.record_batch([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), prefix], names=["doc_id", "n_tokens", "s1", "s2", "prefix"])
+        return pa.record_batch([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(central, pa.float64()), prefix], names=["doc_id", "n_tokens", "s1", "s2", "central", "prefix"])
 
-    return docs.mapInArrow(per_batch(batch), "doc_id bigint, n_tokens bigint, s1 bigint, s2 bigint, prefix array<bigint>")
-
-
-def _packed(s: np.ndarray) -> bytes:
-    """Six bytes a shingle: two sets of a thousand have one wrong match in 280 million such pairs."""
-    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-
-
-def _unpacked(data: pa.Buffer) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view("<u8").reshape(-1)
+    return docs.mapInArrow(per_batch(batch), "doc_id bigint, n_tokens bigint, s1 bigint, s2 bigint, central double, prefix array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -136,7 +130,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         good = []
         for tx, ty in zip(b.column("tx"), b.column("ty")):
-            p, q = _unpacked(tx.as_buffer()), _unpacked(ty.as_buffer())
+            p, q = np.frombuffer(tx.as_buffer(), np.uint64), np.frombuffer(ty.as_buffer(), np.uint64)
             both = np.concatenate([p, q])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
@@ -149,9 +143,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Return one row per input row: row_id, n_shingles, component_id (least id reachable by links, itself included).
 
-    Words are runs of anything but space and U+0009 to U+000D, with A-Z lower-cased; shingles are runs of n words, compared by 64-bit
-    hashes (of which verification uses 48). Rows link when 100 * intersection >= percent * union. Null, empty and wordless texts have no
-    shingles and link with nothing. Rows that repeat an id are one vertex; rows without id link with nothing
+    Words are runs of anything but space and U+0009 to U+000D, with A-Z lower-cased; shingles are runs of n words,
+    compared by 64-bit hashes. Rows link when 100 * intersection >= percent * union. Null, empty and wordless texts
+    have no shingles and link with nothing. Rows that repeat an id are one vertex; rows without id link with nothing
     unless an equal text has one. An empty table gives an empty result; other columns aren't read.
     """
     spark = docs.sparkSession
@@ -163,78 +157,132 @@ def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     prefixes = save(_prefixes(rows, n, percent, levels))
     narrow = save(prefixes.select("doc_id", "n_tokens", "s1", "s2"))
     classes = save(prefixes.where("n_tokens > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
-    reps = prefixes.join(classes, ["s1", "s2"]).where("doc_id = rep").select("rep", "n_tokens", "prefix").dropDuplicates(["rep", "n_tokens", "prefix"])
-    # level: the least extension whose prefix holds the token.
-    unextended = F.col("n_tokens") - F.ceil(F.lit(percent) * F.col("n_tokens") / 100)
-    reps = save(reps)
+    # The id as part of the key spreads a large class.
+    reps = prefixes.where("n_tokens > 0").withColumnRenamed("doc_id", "rep").join(classes, ["s1", "s2", "rep"])
+    reps = save(reps.select("rep", "n_tokens", "central", "prefix").dropDuplicates(["rep", "n_tokens", "prefix"]))
     release(spark, prefixes)
-    shared = reps.select("rep", "n_tokens", F.posexplode("prefix").alias("pos", "token")).select("rep", "n_tokens", "token", F.col("pos").cast("bigint").alias("pos"), F.greatest(F.lit(1), F.col("pos") + 1 - unextended).cast("int").alias("level"))
-    for _ in range(2):  # a class needs l shared tokens in each prefix l; without some, tokens of others fall away
-        counts = save(shared.groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 1"))
-        release(spark)
-        shared = save(shared.drop("cnt").join(counts, "token"))
-        release(spark)
-        possible = shared.groupBy("rep").agg(*[F.count(F.when(F.col("level") <= k, 1)).alias(f"n{k}") for k in range(1, MOST + 1)], F.max("n_tokens").alias("nt"))
-        # An extension can't ask for more tokens than a partner must have in common.
-        enough = F.lit(True)
-        for k in range(1, MOST + 1):
-            enough = enough & ((F.col(f"n{k}") >= k) | (F.col("nt") < 2 * MOST))
-        whole, shared = shared, save(shared.join(save(possible.where(enough & (F.col("n1") > 0)).select("rep")), "rep", "left_semi").select("rep", "n_tokens", "token", "pos", "level", "cnt"))
-        release(spark, whole)
+    shared = _shared(reps, percent, save)
     release(spark, reps)
-    cost = [F.sum(F.when(F.col("level") <= k, F.col("cnt") - 1).otherwise(0)) * (1 + VERIFY_COST / k) for k in range(1, MOST + 1)]
-    chosen = shared.groupBy("rep").agg(F.max("n_tokens").alias("nt"), F.array(*[F.struct(c.alias("cost"), F.lit(k).alias("l")) for k, c in enumerate(cost, 1)]).alias("costs"))
-    chosen = save(chosen.select("rep", F.when(F.col("nt") < 2 * MOST, F.lit(1)).otherwise(F.array_min("costs")["l"]).alias("l")))
-    shared = save(shared.drop("cnt").join(chosen, "rep"))
-
-    wanted = chosen.select(F.col("rep").alias("doc_id"))
-    texts = rows.join(wanted, "doc_id", "left_semi")
+    wanted = save(shared.select("rep").distinct())
+    texts = rows.join(wanted.toDF("doc_id"), "doc_id", "left_semi")
 
     def as_sets(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [_packed(s) for s in document_sets(b.column("text"), n)]
+        sets = [s.tobytes() for s in document_sets(b.column("text"), n)]
         return pa.record_batch([b.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "tokens"])
 
     sets = save(texts.mapInArrow(per_batch(as_sets), "rep bigint, tokens binary"))
     release(spark)
+    links, labels = _stars(shared, wanted, sets, percent, save)
+    rest = save(_verified(save(_candidates(shared, labels, percent, save)), sets, percent))
+    release(spark, sets, shared)
+    links = rest if links is None else links.unionByName(rest)
+    found = save(connected_components(links, save, "x", "y")).toDF("rep", "component_id")
+    grouped = classes.join(found, "rep", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
+    columns = lambda component: (F.col("doc_id").alias(row_id), F.col("n_tokens").alias("n_shingles"), F.col(component).alias("component_id"))
+    linked = narrow.where("n_tokens > 0").join(save(grouped), ["s1", "s2"], "left").select(*columns("component_id"))
+    # Rows without words have one key: they aren't joined.
+    return linked.unionByName(narrow.where("n_tokens = 0").select(*columns("doc_id")))
+
+
+def _shared(reps: DataFrame, percent: int, save: Save) -> DataFrame:
+    """(rep, n_tokens, central, token, pos, level, hold): the tokens of prefixes that can take part in a match.
 
-    links = None
-    labels = chosen.select(F.col("rep").alias("id"), F.col("rep").alias("component"))
+    level: the least extension whose prefix holds the token, against any partner; hold: that against one that is not
+    smaller, which has to have more in common.
+    """
+    size = F.col("n_tokens")
+    unextended = size - F.ceil(F.lit(percent) * size / 100)
+    held = size - F.ceil(F.lit(2 * percent) * size / (100 + percent))
+    level = lambda free: F.greatest(F.lit(1), F.col("pos") + 1 - free).cast("int")
+    shared = reps.select("rep", "n_tokens", "central", F.posexplode("prefix").alias("pos", "token"))
+    shared = shared.withColumn("pos", F.col("pos").cast("bigint"))
+    shared = shared.withColumn("level", level(unextended)).withColumn("hold", level(held))
+    # A class needs l shared tokens in each prefix l; without some, tokens of others fall away.
+    for _ in range(2):
+        counts = save(shared.groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 1").select("token"))
+        release(reps.sparkSession)
+        shared = save(shared.join(counts, "token", "left_semi"))
+        release(reps.sparkSession)
+        held_at = [F.count(F.when(F.col("level") <= k, 1)).alias(f"n{k}") for k in range(1, MOST + 1)]
+        possible = shared.groupBy("rep").agg(*held_at, F.max("n_tokens").alias("nt"))
+        # An extension can't ask for more tokens than a partner must have in common.
+        enough = F.lit(True)
+        for k in range(1, MOST + 1):
+            enough = enough & ((F.col(f"n{k}") >= k) | (F.col("nt") < 2 * MOST))
+        whole, shared = shared, save(shared.join(save(possible.where(enough & (F.col("n1") > 0)).select("rep")), "rep", "left_semi"))
+        release(reps.sparkSession, whole)
+    return shared
+
+
+def _stars(shared: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, save: Save) -> tuple[DataFrame | None, DataFrame]:
+    """Links of classes with pivots, and labels (id, component): equal labels prove two classes connected."""
+    links, labels = None, reps.select(F.col("rep").alias("id"), F.col("rep").alias("component"))
     for k in range(STAR_ROUNDS):
         at = shared.join(labels.withColumnRenamed("id", "rep"), "rep")
-        key = F.struct("n_tokens", "rep", "component") if k == 0 else F.struct(F.xxhash64("component", F.lit(k)), F.col("rep"), F.col("component"), F.col("n_tokens"))
-        pivots = save(at.groupBy("token").agg(F.min(key).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", F.col("p.rep").alias("y"), F.col("p.component").alias("yc"), F.col("p.n_tokens").alias("yn")))
-        sized = (F.lit(100) * F.least("n_tokens", "yn") >= F.lit(percent) * F.greatest("n_tokens", "yn")) & (F.col("component") != F.col("yc"))
-        star = at.join(pivots, "token").where(sized).groupBy(F.col("rep").alias("x"), "y").agg(F.count("*").alias("c"))
+        # The first round's pivots are the most central classes, later ones those of components in hashed order.
+        turn = F.lit(0) if k == 0 else F.xxhash64("component", F.lit(k))
+        key = F.struct(turn, -F.col("central"), F.col("n_tokens"), F.col("rep"), F.col("component"))
+        pivots = at.groupBy("token").agg(F.min(key).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        pivots = save(
+            pivots.where("lo < hi").select("token", F.col("p.rep").alias("y"), F.col("p.component").alias("yc"), F.col("p.n_tokens").alias("yn"))
+        )
+        sized = F.lit(100) * F.least("n_tokens", "yn") >= F.lit(percent) * F.greatest("n_tokens", "yn")
+        star = at.join(pivots, "token").where(sized & (F.col("component") != F.col("yc"))).groupBy(F.col("rep").alias("x"), "y").agg(F.count("*").alias("c"))
         star = save(star.groupBy("x").agg(F.max(F.struct("c", "y")).alias("best")).select("x", F.col("best.y").alias("y")))
         found = save(_verified(star, sets, percent))
-        release(spark)
-        if found.isEmpty():
+        release(shared.sparkSession)
+        linked = found.count()
+        if linked:
+            links = found if links is None else links.unionByName(found)
+            labels = save(_hooked(labels, found))
+        if linked * STAR_YIELD < star.count() or not linked:
             break
-        links = found if links is None else links.unionByName(found)
-        labels = save(_hooked(labels, found))
+    return links, labels
+
 
-    # The exact join: x asks, y is not larger; their size classes are equal or neighbours.
+def _candidates(shared: DataFrame, labels: DataFrame, percent: int, save: Save) -> DataFrame:
+    """All pairs (x, y) of classes in different components that pass the filters; x is not smaller than y."""
     at = shared.join(labels.withColumnRenamed("id", "rep"), "rep")
-    mixed = save(at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"))
-    # A little wider than the size filter, so that rounding can't part sizes at its edge.
+    # How many classes outside of a component hold a token, by extension.
+    held = [F.count(F.when(F.col("hold") <= k, 1)).alias(f"c{k}") for k in range(1, MOST + 1)]
+    inside = save(at.groupBy("token", "component").agg(*held))
+    sums = [F.sum(f"c{k}").alias(f"n{k}") for k in range(1, MOST + 1)]
+    mixed = inside.groupBy("token").agg(*sums, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
+    outside = inside.join(save(mixed), "token").select("token", "component", *[(F.col(f"n{k}") - F.col(f"c{k}")).alias(f"r{k}") for k in range(1, MOST + 1)])
+    at = save(at.join(outside, ["token", "component"]))
+    release(shared.sparkSession)
+    rows = [F.sum(F.when(F.col("hold") <= k, F.col(f"r{k}")).otherwise(0)).alias(f"m{k}") for k in range(1, MOST + 1)]
+    # Candidates of an extension are at most its matches over l, and at most those of a shorter one.
+    left = [F.array_min(F.array(*[F.col(f"m{j}") / j for j in range(1, k + 1)])) for k in range(1, MOST + 1)]
+    costs = F.array(*[F.struct((F.col(f"m{k}") + VERIFY_COST * left[k - 1]).alias("cost"), F.lit(k).alias("l")) for k in range(1, MOST + 1)])
+    chosen = at.groupBy("rep").agg(*rows, F.max("n_tokens").alias("nt"))
+    chosen = save(chosen.select("rep", F.when(F.col("nt") < 2 * MOST, F.lit(1)).otherwise(F.array_min(costs)["l"]).alias("l")))
+
+    # x asks, y is not larger; their size classes are equal or neighbours. The classes are a little wider than the
+    # size filter, so that rounding can't part sizes at its edge.
     base = F.floor(F.log(F.col("n_tokens").cast("double")) / float(max(-np.log(percent / 100.0), 1e-3) * 1.001)).cast("int")
-    at = save(at.join(mixed, "token").withColumn("band", base))
-    asks = at.select("token", F.col("rep").alias("x"), F.col("n_tokens").alias("nx"), F.col("pos").alias("px"), F.col("level").alias("lx"), "l", F.col("component").alias("cx"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
-    holds = at.select("token", F.col("rep").alias("y"), F.col("n_tokens").alias("ny"), F.col("pos").alias("py"), F.col("level").alias("ly"), F.col("component").alias("cy"), "band")
+    at = at.select("rep", "n_tokens", "token", "pos", "level", "hold", "component", base.alias("band"))
+    asks = at.join(chosen, "rep").where("level <= l").select(
+        "token",
+        F.col("rep").alias("x"),
+        F.col("n_tokens").alias("nx"),
+        F.col("pos").alias("px"),
+        "l",
+        F.col("component").alias("cx"),
+        F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"),
+    )
+    holds = at.where(F.col("hold") <= MOST).select(
+        "token", F.col("rep").alias("y"), F.col("n_tokens").alias("ny"), F.col("pos").alias("py"), "hold", F.col("component").alias("cy"), "band"
+    )
     # What this pair has to have in common, by both sizes, leaves shorter prefixes than each size alone.
     common = F.floor((F.lit(percent) * (F.col("nx") + F.col("ny")) + (99 + percent)) / (100 + percent))
-    fits = (F.lit(100) * F.col("ny") >= F.lit(percent) * F.col("nx")) & (F.col("px") < F.col("nx") - common + F.col("l")) & (F.col("py") < F.col("ny") - common + F.col("l"))
-    matched = asks.join(holds, ["token", "band"]).where("cx <> cy and (nx > ny or (nx = ny and x > y)) and lx <= l and ly <= l").where(fits)
-    pairs = matched.groupBy("x", "y", "l").agg(F.count("*").alias("c")).where("c >= l").select("x", "y")
-    pairs = save(pairs)
-    release(spark)
-    rest = save(_verified(pairs, sets, percent))
-    release(spark, sets)
-    links = rest if links is None else links.unionByName(rest)
-    labels = _labels(chosen, links, save)
-    grouped = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = narrow.join(save(grouped), ["s1", "s2"], "left")
-    return out.select(F.col("doc_id").alias(row_id), F.col("n_tokens").alias("n_shingles"), F.when(F.col("n_tokens") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    fits = (
+        (F.lit(100) * F.col("ny") >= F.lit(percent) * F.col("nx"))
+        & (F.col("px") < F.col("nx") - common + F.col("l"))
+        & (F.col("py") < F.col("ny") - common + F.col("l"))
+    )
+    matched = asks.join(holds, ["token", "band"]).where("cx <> cy and (nx > ny or (nx = ny and x > y)) and hold <= l").where(fits)
+    return matched.groupBy("x", "y", "l").agg(F.count("*").alias("c")).where("c >= l").select("x", "y")
 
 
 def _hooked(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -247,8 +295,3 @@ def _hooked(labels: DataFrame, found: DataFrame) -> DataFrame:
     least = ends.groupBy("component").agg(F.min("to").alias("to"))
     twice = least.join(least.toDF("to", "further"), "to", "left").select("component", F.coalesce("further", "to").alias("to"))
     return labels.join(twice, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-
-
-def _labels(chosen: DataFrame, links: DataFrame, save) -> DataFrame:  # noqa: ANN001
-    found = connected_components(links, save, "x", "y")
-    return save(chosen.select(F.col("rep").alias("id")).join(save(found), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
