@@ -21,6 +21,7 @@ match then, so it does not grow with a group that is one component already.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ VERIFY_COST = 30
 #: Star rounds go on while one in so many of the pairs that they try is a link; the join does the rest.
 STAR_YIELD, STAR_ROUNDS = 20, 8
 SKETCH_BITS, BLOCK_BITS = 22, 16
+#: Cells of a set's bitmap.
+BITS = 1024
 _U = np.uint64
 Save = Callable[[DataFrame], DataFrame]
 
@@ -97,12 +100,20 @@ def _tokens(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((levels[(hashes >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << _U(56)) | (hashes >> _U(8)))
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """For each of BITS cells whether it holds an odd number of the set's tokens."""
+    return np.packbits((np.bincount((s & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
 def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, s1, s2, prefix): the set's size, its 128-bit signature and its longest prefix."""
+    """(doc_id, n_tokens, s1, s2, central, bits, prefix) of each row.
+
+    s1 and s2 are the set's 128-bit signature, central its tokens' mean level, prefix the longest one.
+    """
     one, two = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        size, s1, s2, central, flat, offsets = [], [], [], [], [], [0]
+        size, s1, s2, central, bits, flat, offsets = [], [], [], [], [], [], [0]
         for s in document_sets(b.column("text"), n):
             k = len(s)
             size.append(k)
@@ -111,33 +122,73 @@ def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
             keep = min(k, k - -(-percent * k // 100) + MOST)
             tokens = _tokens(s, levels)
             central.append(float((tokens >> _U(56)).mean()) if k else 0.0)
+            bits.append(_bitmap(s))
             if k:
                 flat.append(tokens[:keep])
             offsets.append(offsets[-1] + (keep if k else 0))
         values = np.concatenate(flat).astype(np.int64) if flat else np.zeros(0, np.int64)
         prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
-        return pa.record_batch([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(central, pa.float64()), prefix], names=["doc_id", "n_tokens", "s1", "s2", "central", "prefix"])
-
-    return docs.mapInArrow(per_batch(batch), "doc_id bigint, n_tokens bigint, s1 bigint, s2 bigint, central double, prefix array<bigint>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (x, y), those whose sets have percent of their union in common."""
-    left = sets.select(F.col("rep").alias("x"), F.col("tokens").alias("tx"))
-    right = sets.select(F.col("rep").alias("y"), F.col("tokens").alias("ty"))
-    joined = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "tx", "ty")
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for tx, ty in zip(b.column("tx"), b.column("ty")):
-            p, q = np.frombuffer(tx.as_buffer(), np.uint64), np.frombuffer(ty.as_buffer(), np.uint64)
-            both = np.concatenate([p, q])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            good.append(100 * common >= percent * (len(p) + len(q) - common))
-        return pa.record_batch([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(good, pa.bool_()))
-
-    return joined.mapInArrow(per_batch(batch), "x bigint, y bigint")
+        columns = (size, pa.int64()), (s1, pa.int64()), (s2, pa.int64()), (central, pa.float64()), (bits, pa.binary())
+        names = ["doc_id", "n_tokens", "s1", "s2", "central", "bits", "prefix"]
+        return pa.record_batch([b.column("doc_id"), *(pa.array(*c) for c in columns), prefix], names=names)
+
+    schema = "doc_id bigint, n_tokens bigint, s1 bigint, s2 bigint, central double, bits binary, prefix array<bigint>"
+    return docs.mapInArrow(per_batch(batch), schema)
+
+
+@dataclass
+class Classes:
+    """What verifies pairs of classes: marks (rep, n_tokens, bits) and the texts of the corpus."""
+
+    marks: DataFrame
+    rows: DataFrame
+    n: int
+    percent: int
+    save: Save
+
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that bitmaps don't rule out: sets differ in at least as many tokens as their bitmaps do in bits."""
+        percent = self.percent
+        left = self.marks.toDF("x", "nx", "bx")
+        right = self.marks.toDF("y", "ny", "by")
+
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("bx", "by")]
+            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)
+            total = b.column("nx").to_numpy() + b.column("ny").to_numpy()
+            return b.select(["x", "y"]).filter(pa.array(apart * (100 + percent) <= total * (100 - percent)))
+
+        joined = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "bx", "by")
+        return joined.mapInArrow(per_batch(batch), "x bigint, y bigint")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (x, y), those whose sets have percent of their union in common.
+
+        Whole sets are made of, and move for, those classes only that have a possible pair.
+        """
+        percent, n, spark = self.percent, self.n, pairs.sparkSession
+
+        def as_sets(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [s.tobytes() for s in document_sets(b.column("text"), n)]
+            return pa.record_batch([b.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "tokens"])
+
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            good = []
+            for tx, ty in zip(b.column("tx"), b.column("ty")):
+                both = np.concatenate([np.frombuffer(tx.as_buffer(), np.uint64), np.frombuffer(ty.as_buffer(), np.uint64)])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                good.append(100 * common >= percent * (len(both) - common))
+            return b.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+        pairs = self.save(self._possible(pairs))
+        ends = self.save(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct())
+        sets = self.save(self.rows.join(ends, "doc_id", "left_semi").mapInArrow(per_batch(as_sets), "rep bigint, tokens binary"))
+        release(spark)
+        joined = pairs.join(sets.toDF("x", "tx"), "x").join(sets.toDF("y", "ty"), "y").select("x", "y", "tx", "ty")
+        found = self.save(joined.mapInArrow(per_batch(batch), "x bigint, y bigint"))
+        release(spark, pairs, ends, sets)
+        return found
 
 
 def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -159,22 +210,17 @@ def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     classes = save(prefixes.where("n_tokens > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     # The id as part of the key spreads a large class.
     reps = prefixes.where("n_tokens > 0").withColumnRenamed("doc_id", "rep").join(classes, ["s1", "s2", "rep"])
-    reps = save(reps.select("rep", "n_tokens", "central", "prefix").dropDuplicates(["rep", "n_tokens", "prefix"]))
+    reps = save(reps.select("rep", "n_tokens", "central", "bits", "prefix").dropDuplicates(["rep", "n_tokens", "bits", "prefix"]))
     release(spark, prefixes)
+    marks = save(reps.select("rep", "n_tokens", "bits"))
     shared = _shared(reps, percent, save)
     release(spark, reps)
     wanted = save(shared.select("rep").distinct())
-    texts = rows.join(wanted.toDF("doc_id"), "doc_id", "left_semi")
-
-    def as_sets(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s.tobytes() for s in document_sets(b.column("text"), n)]
-        return pa.record_batch([b.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "tokens"])
-
-    sets = save(texts.mapInArrow(per_batch(as_sets), "rep bigint, tokens binary"))
-    release(spark)
-    links, labels = _stars(shared, wanted, sets, percent, save)
-    rest = save(_verified(save(_candidates(shared, labels, percent, save)), sets, percent))
-    release(spark, sets, shared)
+    known = Classes(save(marks.join(wanted, "rep", "left_semi")), rows, n, percent, save)
+    release(spark, marks)
+    links, labels = _stars(shared, wanted, known)
+    rest = known.verified(_candidates(shared, labels, percent, save))
+    release(spark, shared)
     links = rest if links is None else links.unionByName(rest)
     found = save(connected_components(links, save, "x", "y")).toDF("rep", "component_id")
     grouped = classes.join(found, "rep", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
@@ -214,8 +260,9 @@ def _shared(reps: DataFrame, percent: int, save: Save) -> DataFrame:
     return shared
 
 
-def _stars(shared: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, save: Save) -> tuple[DataFrame | None, DataFrame]:
+def _stars(shared: DataFrame, reps: DataFrame, known: Classes) -> tuple[DataFrame | None, DataFrame]:
     """Links of classes with pivots, and labels (id, component): equal labels prove two classes connected."""
+    save, percent = known.save, known.percent
     links, labels = None, reps.select(F.col("rep").alias("id"), F.col("rep").alias("component"))
     for k in range(STAR_ROUNDS):
         at = shared.join(labels.withColumnRenamed("id", "rep"), "rep")
@@ -227,10 +274,11 @@ def _stars(shared: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, sa
             pivots.where("lo < hi").select("token", F.col("p.rep").alias("y"), F.col("p.component").alias("yc"), F.col("p.n_tokens").alias("yn"))
         )
         sized = F.lit(100) * F.least("n_tokens", "yn") >= F.lit(percent) * F.greatest("n_tokens", "yn")
-        star = at.join(pivots, "token").where(sized & (F.col("component") != F.col("yc"))).groupBy(F.col("rep").alias("x"), "y").agg(F.count("*").alias("c"))
+        star = at.join(pivots, "token").where(sized & (F.col("component") != F.col("yc"))).groupBy(F.col("rep").alias("x"), "y").agg(F.count("*").alias("c"), F.max("n_tokens").alias("n"))
+        # A pair with fewer of them than the longest extension asks for is hardly a link; if it is, the join finds it.
+        star = star.where((F.col("c") >= MOST) | (F.col("n") < 2 * MOST))
         star = save(star.groupBy("x").agg(F.max(F.struct("c", "y")).alias("best")).select("x", F.col("best.y").alias("y")))
-        found = save(_verified(star, sets, percent))
-        release(shared.sparkSession)
+        found = known.verified(star)
         linked = found.count()
         if linked:
             links = found if links is None else links.unionByName(found)
