@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import materialize, per_batch, release, tune
@@ -212,13 +212,13 @@ def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     reps = prefixes.where("n_tokens > 0").withColumnRenamed("doc_id", "rep").join(classes, ["s1", "s2", "rep"])
     reps = save(reps.select("rep", "n_tokens", "central", "bits", "prefix").dropDuplicates(["rep", "n_tokens", "bits", "prefix"]))
     release(spark, prefixes)
-    marks = save(reps.select("rep", "n_tokens", "bits"))
+    marks = save(reps.select("rep", "n_tokens", "bits", "central"))
     shared = _shared(reps, percent, save)
     release(spark, reps)
-    wanted = save(shared.select("rep").distinct())
-    known = Classes(save(marks.join(wanted, "rep", "left_semi")), rows, n, percent, save)
-    release(spark, marks)
-    links, labels = _stars(shared, wanted, known)
+    marks, all_marks = save(marks.join(shared.select("rep").distinct(), "rep", "left_semi")), marks
+    release(spark, all_marks)
+    known = Classes(marks.drop("central"), rows, n, percent, save)
+    links, labels = _stars(shared, marks, known)
     rest = known.verified(_candidates(shared, labels, percent, save))
     release(spark, shared)
     links = rest if links is None else links.unionByName(rest)
@@ -230,26 +230,29 @@ def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     return linked.unionByName(narrow.where("n_tokens = 0").select(*columns("doc_id")))
 
 
-def _shared(reps: DataFrame, percent: int, save: Save) -> DataFrame:
-    """(rep, n_tokens, central, token, pos, level, hold): the tokens of prefixes that can take part in a match.
+def _extensions(percent: int) -> tuple[Column, Column]:
+    """The least extension whose prefix holds a posting's token: against any partner, and against one not smaller.
 
-    level: the least extension whose prefix holds the token, against any partner; hold: that against one that is not
-    smaller, which has to have more in common.
+    The latter has to have more in common. Postings are moved without them, as they follow from n_tokens and pos.
     """
     size = F.col("n_tokens")
     unextended = size - F.ceil(F.lit(percent) * size / 100)
     held = size - F.ceil(F.lit(2 * percent) * size / (100 + percent))
     level = lambda free: F.greatest(F.lit(1), F.col("pos") + 1 - free).cast("int")
-    shared = reps.select("rep", "n_tokens", "central", F.posexplode("prefix").alias("pos", "token"))
-    shared = shared.withColumn("pos", F.col("pos").cast("bigint"))
-    shared = shared.withColumn("level", level(unextended)).withColumn("hold", level(held))
+    return level(unextended), level(held)
+
+
+def _shared(reps: DataFrame, percent: int, save: Save) -> DataFrame:
+    """(rep, n_tokens, token, pos): the tokens of prefixes that can take part in a match."""
+    shared = reps.select("rep", "n_tokens", F.posexplode("prefix").alias("pos", "token"))
+    level, _ = _extensions(percent)
     # A class needs l shared tokens in each prefix l; without some, tokens of others fall away.
     for _ in range(2):
         counts = save(shared.groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 1").select("token"))
         release(reps.sparkSession)
         shared = save(shared.join(counts, "token", "left_semi"))
         release(reps.sparkSession)
-        held_at = [F.count(F.when(F.col("level") <= k, 1)).alias(f"n{k}") for k in range(1, MOST + 1)]
+        held_at = [F.count(F.when(level <= k, 1)).alias(f"n{k}") for k in range(1, MOST + 1)]
         possible = shared.groupBy("rep").agg(*held_at, F.max("n_tokens").alias("nt"))
         # An extension can't ask for more tokens than a partner must have in common.
         enough = F.lit(True)
@@ -260,10 +263,11 @@ def _shared(reps: DataFrame, percent: int, save: Save) -> DataFrame:
     return shared
 
 
-def _stars(shared: DataFrame, reps: DataFrame, known: Classes) -> tuple[DataFrame | None, DataFrame]:
+def _stars(shared: DataFrame, marks: DataFrame, known: Classes) -> tuple[DataFrame | None, DataFrame]:
     """Links of classes with pivots, and labels (id, component): equal labels prove two classes connected."""
     save, percent = known.save, known.percent
-    links, labels = None, reps.select(F.col("rep").alias("id"), F.col("rep").alias("component"))
+    # A repeated id has several sets and is one vertex.
+    links, labels = None, save(marks.groupBy(F.col("rep").alias("id"), F.col("rep").alias("component")).agg(F.max("central").alias("central")))
     for k in range(STAR_ROUNDS):
         at = shared.join(labels.withColumnRenamed("id", "rep"), "rep")
         # The first round's pivots are the most central classes, later ones those of components in hashed order.
@@ -290,16 +294,17 @@ def _stars(shared: DataFrame, reps: DataFrame, known: Classes) -> tuple[DataFram
 
 def _candidates(shared: DataFrame, labels: DataFrame, percent: int, save: Save) -> DataFrame:
     """All pairs (x, y) of classes in different components that pass the filters; x is not smaller than y."""
-    at = shared.join(labels.withColumnRenamed("id", "rep"), "rep")
+    level, hold = _extensions(percent)
+    at = shared.join(labels.select(F.col("id").alias("rep"), "component"), "rep")
     # How many classes outside of a component hold a token, by extension.
-    held = [F.count(F.when(F.col("hold") <= k, 1)).alias(f"c{k}") for k in range(1, MOST + 1)]
+    held = [F.count(F.when(hold <= k, 1)).alias(f"c{k}") for k in range(1, MOST + 1)]
     inside = save(at.groupBy("token", "component").agg(*held))
     sums = [F.sum(f"c{k}").alias(f"n{k}") for k in range(1, MOST + 1)]
     mixed = inside.groupBy("token").agg(*sums, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
     outside = inside.join(save(mixed), "token").select("token", "component", *[(F.col(f"n{k}") - F.col(f"c{k}")).alias(f"r{k}") for k in range(1, MOST + 1)])
     at = save(at.join(outside, ["token", "component"]))
     release(shared.sparkSession)
-    rows = [F.sum(F.when(F.col("hold") <= k, F.col(f"r{k}")).otherwise(0)).alias(f"m{k}") for k in range(1, MOST + 1)]
+    rows = [F.sum(F.when(hold <= k, F.col(f"r{k}")).otherwise(0)).alias(f"m{k}") for k in range(1, MOST + 1)]
     # Candidates of an extension are at most its matches over l, and at most those of a shorter one.
     left = [F.array_min(F.array(*[F.col(f"m{j}") / j for j in range(1, k + 1)])) for k in range(1, MOST + 1)]
     costs = F.array(*[F.struct((F.col(f"m{k}") + VERIFY_COST * left[k - 1]).alias("cost"), F.lit(k).alias("l")) for k in range(1, MOST + 1)])
@@ -309,7 +314,7 @@ def _candidates(shared: DataFrame, labels: DataFrame, percent: int, save: Save)
     # x asks, y is not larger; their size classes are equal or neighbours. The classes are a little wider than the
     # size filter, so that rounding can't part sizes at its edge.
     base = F.floor(F.log(F.col("n_tokens").cast("double")) / float(max(-np.log(percent / 100.0), 1e-3) * 1.001)).cast("int")
-    at = at.select("rep", "n_tokens", "token", "pos", "level", "hold", "component", base.alias("band"))
+    at = at.select("rep", "n_tokens", "token", "pos", level.alias("level"), hold.alias("hold"), "component", base.alias("band"))
     asks = at.join(chosen, "rep").where("level <= l").select(
         "token",
         F.col("rep").alias("x"),
@@ -338,8 +343,8 @@ def _hooked(labels: DataFrame, found: DataFrame) -> DataFrame:
 
     Equal labels stay a proof that two classes are connected; that all connected ones agree is not needed here.
     """
-    lx, ly = labels.toDF("x", "cx"), labels.toDF("y", "cy")
-    ends = found.join(lx, "x").join(ly, "y").where("cx <> cy").select(F.greatest("cx", "cy").alias("component"), F.least("cx", "cy").alias("to"))
+    lx, ly = labels.toDF("x", "cx", "_"), labels.toDF("y", "cy", "_")
+    ends = found.join(lx.drop("_"), "x").join(ly.drop("_"), "y").where("cx <> cy").select(F.greatest("cx", "cy").alias("component"), F.least("cx", "cy").alias("to"))
     least = ends.groupBy("component").agg(F.min("to").alias("to"))
     twice = least.join(least.toDF("to", "further"), "to", "left").select("component", F.coalesce("further", "to").alias("to"))
-    return labels.join(twice, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return labels.join(twice, "component", "left").select("id", F.coalesce("to", "component").alias("component"), "central")
