@@ -94,3 +94,54 @@ def test_leaderboard_takes_all_models_and_features(spark, graph, monkeypatch):
     assert len(taken["columns"]) == 28 and set(taken["columns"]) <= set(taken["train"].columns)
     row = taken["train"].agg(*[F.count_distinct(c).alias(c) for c in taken["columns"]]).first()
     assert min(row[c] for c in ("pagerank_product", "closeness_product", "same_community", "emb_cosine_sim", "emb_hadamard_7")) > 1
+
+
+def test_ranks_over_skewed_scores(spark):
+    """Running sums by ranges equal those of one sorted list, with ties, nulls of a class, and one huge outlier."""
+    import random
+
+    from weft.operators import evaluate as V
+
+    rng = random.Random(4)
+    rows = [(k, k + 1, rng.randrange(2), rng.choice([1e12, -3.0, *(rng.random() for _ in range(9))])) for k in range(700)]
+    scored = spark.createDataFrame(rows, "u bigint, v bigint, label int, score double")
+    got = sorted((r["score"], r["tp"], r["fp"], r["p"], r["n"]) for r in V.by_score(scored).collect())
+    p = sum(r[2] for r in rows)
+    want = []
+    for s in sorted({r[3] for r in rows}):
+        above = [r[2] for r in rows if r[3] >= s]
+        want.append((s, sum(above), len(above) - sum(above), p, len(rows) - p))
+    assert got == want
+    best = sorted(rows, key=lambda r: (-r[3], r[0], r[1]))[:70]
+    assert V.hits_at_k(scored).first()[0] == sum(r[2] for r in best) / min(70, p)
+    assert V.roc_auc(scored.limit(0)).first()[0] is None and not V.hits_at_k(scored.limit(0)).first()[0]
+
+
+def test_fitted_model_keeps_raw_features(spark):
+    from weft.operators import models as M
+
+    rows = [(k, k + 1, k % 2, float(k % 2) * 10 + k % 3) for k in range(60)]
+    train = spark.createDataFrame(rows, "u bigint, v bigint, label int, x double")
+    out = M.zoo(["x"])["logistic_regression"].fit(train).transform(train)
+    assert {(r["u"], r["x"]) for r in out.collect()} == {(r[0], r[3]) for r in rows}
+
+
+def test_dense_rank_of_clustered_ids(spark):
+    from weft.operators import graph as G
+
+    ids = [*range(50), 10**15, 10**15 + 7, -(10**17)]
+    got = {r["id"]: r["rank"] for r in G.dense_rank_of(spark.createDataFrame([(i,) for i in ids], "id bigint"), "id").collect()}
+    assert got == {i: k for k, i in enumerate(sorted(ids))}
+
+
+def test_candidates_are_filled(spark, graph):
+    from weft.operators import serve as R
+
+    edges = graph([(1, 2), (2, 3), *((10 + k, 11 + k) for k in range(40))])
+    got = {}
+    for r in R.candidates(edges, enough=20, most=25).collect():
+        got.setdefault(r["user"], {})[r["candidate"]] = r["mutual"]
+    assert got[1][3] == 1 and 1 not in got[1] and 2 not in got[1] and len(got[1]) == 25
+    assert all(len(c) == 25 for c in got.values())
+    nobody = spark.createDataFrame([(999,)], "id bigint")
+    assert R.candidates(edges, nobody).count() == 0

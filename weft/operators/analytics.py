@@ -162,15 +162,13 @@ def betweenness(edges: DataFrame, save: Save, exact_up_to: int = 1000, pivots: i
 
 def degree_centrality(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     deg = degrees(edges, nodes)
-    n = F.count("*").over(W.partitionBy())
     total = deg.agg(F.count("*").alias("n"))
-    del n
     return deg.crossJoin(F.broadcast(total)).select("id", F.when(F.col("n") > 1, F.col("d") / F.when(F.col("n") > 1, F.col("n") - 1)).otherwise(1.0).alias("degree_centrality"))  # one row
 
 
-def node_centralities(edges: DataFrame, save: Save, limit: int | None = None, rounds: int = 100) -> DataFrame:
+def node_centralities(edges: DataFrame, save: Save, limit: int | None = None, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """node_id, degree and four centralities, by PageRank downwards; limit keeps the first rows."""
-    out = G.degree(edges).join(degree_centrality(edges), "id").join(pagerank(edges, save, rounds=rounds), "id").join(betweenness(edges, save), "id").join(closeness(edges, save, most_nodes=None), "id")
+    out = G.degree(edges).join(degree_centrality(edges), "id").join(pagerank(edges, save, rounds=rounds, tolerance=tolerance), "id").join(betweenness(edges, save), "id").join(closeness(edges, save, most_nodes=None), "id")
     out = out.select(F.col("id").alias("node_id"), F.col("d").alias("degree"), "degree_centrality", "pagerank", F.col("betweenness").alias("betweenness_centrality"), F.col("closeness").alias("closeness_centrality")).orderBy(F.desc("pagerank"), "node_id")
     return out if limit is None else out.limit(limit)
 

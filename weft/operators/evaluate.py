@@ -10,15 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.functions import ranges
 from weft.operators.features import ratio
 
 
 def by_score(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, score, pos, neg and their running sums tp, fp from the highest score down, with totals p, n."""
-    hist = scored.groupBy(*keys, "score").agg(F.sum(F.col("label").cast("bigint")).alias("pos"), F.sum(1 - F.col("label").cast("bigint")).alias("neg"))
+    """keys, score, pos, neg and their running sums tp, fp from the highest score down, with totals p, n.
+
+    Sums of ranges of scores come first, then running sums within each range.
+    """
+    yes = F.col("label").cast("bigint")
+    hist = scored.groupBy(*keys, "score").agg(F.sum(yes).alias("pos"), F.sum(1 - yes).alias("neg"))
+    hist = hist.withColumn("_block", ranges.blocks(scored, "score"))
     every = W.partitionBy(*keys)
-    down = every.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    return hist.select(*keys, "score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
+    above = every.orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
+    sums = hist.groupBy(*keys, "_block").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    sums = sums.select(
+        *keys,
+        "_block",
+        F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("_tp"),
+        F.coalesce(F.sum("_neg").over(above), F.lit(0)).alias("_fp"),
+        F.sum("_pos").over(every).alias("p"),
+        F.sum("_neg").over(every).alias("n"),
+    )
+    down = W.partitionBy(*keys, "_block").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    tp, fp = F.col("_tp") + F.sum("pos").over(down), F.col("_fp") + F.sum("neg").over(down)
+    return hist.join(sums, [*keys, "_block"]).select(*keys, "score", "pos", "neg", tp.alias("tp"), fp.alias("fp"), "p", "n")
 
 
 def roc_auc(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -58,9 +75,20 @@ def confusion_at_thresholds(scored: DataFrame, steps: int = 19) -> DataFrame:
 
 def hits_at_k(scored: DataFrame, share: float = 0.1, least: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
     """Positives among the k best rows, by min(k, positives); k = max(least, share of rows); ties by (u, v)."""
-    ordered = W.partitionBy(*keys).orderBy(F.desc("score"), "u", "v")
+    placed = scored.withColumn("_block", ranges.blocks(scored, "score"))
     every = W.partitionBy(*keys)
-    t = scored.select(*keys, "label", F.row_number().over(ordered).alias("r"), F.greatest(F.lit(least), F.floor(share * F.count("*").over(every))).alias("k"), F.sum("label").over(every).alias("p"))
+    sums = placed.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"), F.sum("label").alias("_pos"))
+    sums = sums.select(
+        *keys,
+        "_block",
+        F.coalesce(F.sum("_rows").over(every.orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_above"),
+        F.greatest(F.lit(least), F.floor(share * F.sum("_rows").over(every))).alias("k"),
+        F.sum("_pos").over(every).alias("p"),
+    )
+    # Ranges that begin below the k best rows count for nothing.
+    inside = W.partitionBy(*keys, "_block").orderBy(F.desc("score"), "u", "v")
+    t = placed.join(sums.where("_above < k"), [*keys, "_block"])
+    t = t.withColumn("r", F.col("_above") + F.row_number().over(inside))
     top = t.groupBy(*keys).agg(F.sum(F.when(F.col("r") <= F.col("k"), F.col("label")).otherwise(0)).alias("h"), F.max(F.least("k", "p")).alias("m"))
     return top.select(*keys, ratio(F.col("h"), F.col("m")).alias("hits_at_k"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.functions import hashing
+from weft.functions import hashing, ranges
 
 
 def dedup_undirected(raw: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -61,13 +61,13 @@ def relabel_contiguous(edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame
 
 
 def dense_rank_of(distinct: DataFrame, column: str) -> DataFrame:
-    """(column, rank from 0) of distinct values: counts of coarse ranges, then ranks within each."""
-    lo, hi, n = distinct.agg(F.min(column), F.max(column), F.count("*")).first()
-    width = max(1, ((hi - lo) // max(1, n // 10_000) + 1) if n else 1)
-    coarse = distinct.withColumn("_part", F.floor((F.col(column) - F.lit(lo if n else 0)) / width).cast("bigint"))
-    sizes = coarse.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inside = coarse.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(column)) - 1)
-    return inside.join(sizes.select("_part", "_before"), "_part").select(column, (F.col("_before") + F.col("_rank")).cast("bigint").alias("rank"))
+    """(column, rank from 0) of distinct values: counts of ranges cut at quantiles, then ranks within each."""
+    placed = distinct.withColumn("_block", ranges.blocks(distinct, column))
+    sizes = placed.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1))  # one row a range
+    sizes = sizes.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = placed.withColumn("_rank", F.row_number().over(W.partitionBy("_block").orderBy(column)) - 1)
+    return inside.join(sizes, "_block").select(column, (F.col("_before") + F.col("_rank")).cast("bigint").alias("rank"))
 
 
 def largest_component(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -121,7 +121,9 @@ def bfs_sample(edges: DataFrame, target: int, seed: int, save) -> DataFrame:  #
     while n < target:
         reached = frontier.join(adj, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("rank").alias("parent"))
         fresh = reached.join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
-        order = W.orderBy("parent", hashing.key(seed, "bfs", "dst"), "dst")
+        # The window holds the nodes that are still wanted, not the frontier.
+        order = W.orderBy("parent", "key", "dst")
+        fresh = fresh.withColumn("key", hashing.key(seed, "bfs", "dst")).orderBy("parent", "key", "dst").limit(target - n)
         frontier = save(fresh.select(F.col("dst").alias("id"), (F.row_number().over(order) - 1 + F.lit(n)).cast("bigint").alias("rank")))
         new = frontier.count()
         if not new:

@@ -71,7 +71,9 @@ class Learned:
         self.model = None
 
     def _vector(self, df: DataFrame) -> DataFrame:
-        ready = standard_scale(clean_nonfinite(align(df, self.columns), self.columns), self.scale).select(*[F.col(c).alias(f"_f{k}") for k, c in enumerate(self.columns)], F.struct(*df.columns).alias("_row"))
+        # The row goes along as it came; only the model sees scaled values.
+        kept = clean_nonfinite(align(df.withColumn("_row", F.struct(*df.columns)), self.columns), self.columns)
+        ready = standard_scale(kept, self.scale).select(*[F.col(c).alias(f"_f{k}") for k, c in enumerate(self.columns)], "_row")
         return VectorAssembler(inputCols=[f"_f{k}" for k in range(len(self.columns))], outputCol="features").transform(ready)
 
     def fit(self, train: DataFrame) -> Learned:

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.functions import hashing
 from weft.operators import graph as G
 from weft.operators.features import local_features
+from weft.operators.models import align, clean_nonfinite, standard_scale
 
 
 def candidates_2hop(edges: DataFrame, users: DataFrame | None = None, cap: int | None = 150) -> DataFrame:
@@ -26,6 +28,40 @@ def candidates_2hop(edges: DataFrame, users: DataFrame | None = None, cap: int |
     return found.withColumn("_r", F.row_number().over(W.partitionBy("user").orderBy(F.desc("mutual"), "candidate"))).where(F.col("_r") <= cap).drop("_r")
 
 
+def fill(edges: DataFrame, users: DataFrame, most: int = 150, seed: int = 42) -> DataFrame:
+    """(user, candidate, place): up to `most` nodes drawn by MD5 for each of users(id) that aren't its neighbours.
+
+    Draw j takes one of all nodes in order of their ids; a node counts where it comes up first. Four draws are made
+    for each place, so the rows follow the users, not the square of the nodes.
+    """
+    adj = G.adjacency(edges)
+    ids = G.dense_rank_of(G.nodes(edges), "id")
+    total = ids.agg(F.count("*").alias("n"))
+    known = users.select("id").distinct().join(G.nodes(edges), "id", "left_semi")
+    draws = known.select(F.col("id").alias("user"), F.explode(F.sequence(F.lit(0), F.lit(4 * most - 1))).alias("j"))
+    draws = draws.crossJoin(F.broadcast(total))  # one row
+    draws = draws.select("user", "j", hashing.index(F.col("n"), seed, "fill", "user", "j").alias("rank"))
+    drawn = draws.groupBy("user", "rank").agg(F.min("j").alias("j")).join(ids, "rank")
+    drawn = drawn.select("user", F.col("id").alias("candidate"), "j").where("user <> candidate")
+    drawn = drawn.join(adj.toDF("user", "candidate"), ["user", "candidate"], "left_anti")
+    place = F.row_number().over(W.partitionBy("user").orderBy("j"))
+    return drawn.select("user", "candidate", place.cast("bigint").alias("place")).where(F.col("place") <= most)
+
+
+def candidates(edges: DataFrame, users: DataFrame | None = None, enough: int = 20, most: int = 150, seed: int = 42) -> DataFrame:
+    """(user, candidate, mutual): friends of friends, at most `most`; users with under `enough` of them get drawn
+    ones up to `most`, with mutual = 0 (a drawn friend of a friend counts once). Unknown users have none."""
+    near = candidates_2hop(edges, users, most)
+    known = (G.nodes(edges) if users is None else users.select("id").distinct().join(G.nodes(edges), "id", "left_semi")).toDF("user")
+    held = near.groupBy("user").agg(F.count("*").alias("held"))
+    short = known.join(held, "user", "left").select("user", F.coalesce("held", F.lit(0)).alias("held")).where(F.col("held") < enough)
+    drawn = fill(edges, short.withColumnRenamed("user", "id"), most, seed)
+    drawn = drawn.join(near.select("user", "candidate"), ["user", "candidate"], "left_anti").join(short, "user")
+    place = F.row_number().over(W.partitionBy("user").orderBy("place"))
+    drawn = drawn.withColumn("_r", place).where(F.col("_r") + F.col("held") <= most)
+    return near.unionByName(drawn.select("user", "candidate", F.lit(0).cast("bigint").alias("mutual")))
+
+
 def mutual_friends(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs(u, v, ...) with the sorted list of their common neighbours."""
     adj = G.adjacency(edges)
@@ -42,17 +78,46 @@ def explanation(mutual: Column) -> Column:
     return F.when(n > 0, F.concat(F.lit("Has "), n.cast("string"), F.when(n == 1, " mutual friend: ").otherwise(" mutual friends: "), some, more)).otherwise("No mutual friends: suggested by position in the graph")
 
 
-def recommend(edges: DataFrame, score: Callable[[DataFrame], DataFrame], users: DataFrame | None = None, top: int = 10, full_graph: DataFrame | None = None, cap: int | None = 150) -> DataFrame:
+def recommend(
+    edges: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    users: DataFrame | None = None,
+    top: int = 10,
+    full_graph: DataFrame | None = None,
+    cap: int = 150,
+    enough: int = 20,
+    features: Callable[[DataFrame, DataFrame], DataFrame] = local_features,
+) -> DataFrame:
     """The best `top` candidates of each user, scored all at once.
 
-    score: takes candidate pairs(u, v) with local features and adds probability. Rank is by probability to four
-    places, then candidate. Mutual friends come from full_graph, by default edges.
+    score: takes candidate pairs(u, v) with features(edges, pairs) and adds probability: a fitted model's transform,
+    or a formula. Rank is by probability to four places, then candidate. Mutual friends come from full_graph, by
+    default edges. Users with under `enough` friends of friends get drawn candidates.
     """
-    pairs = candidates_2hop(edges, users, cap).select(F.col("user").alias("u"), F.col("candidate").alias("v"))
-    scored = score(local_features(edges, pairs)).withColumn("probability", F.round("probability", 4))
+    pairs = candidates(edges, users, enough, cap).select(F.col("user").alias("u"), F.col("candidate").alias("v"))
+    scored = score(features(edges, pairs)).withColumn("probability", F.round("probability", 4))
     best = scored.withColumn("rank", F.row_number().over(W.partitionBy("u").orderBy(F.desc("probability"), "v"))).where(F.col("rank") <= top)
     named = mutual_friends(edges if full_graph is None else full_graph, best)
-    return named.select(F.col("u").alias("user"), F.col("v").alias("candidate_id"), F.col("rank").cast("bigint").alias("rank"), "probability", F.size("mutual_friends").cast("bigint").alias("mutual_friends_count"), "mutual_friends", "common_neighbors", "jaccard_coefficient", "adamic_adar", "resource_allocation", explanation(F.col("mutual_friends")).alias("explanation"))
+    return named.select(
+        F.col("u").alias("user"),
+        F.col("v").alias("candidate_id"),
+        F.col("rank").cast("bigint").alias("rank"),
+        "probability",
+        F.size("mutual_friends").cast("bigint").alias("mutual_friends_count"),
+        "mutual_friends",
+        "common_neighbors",
+        "jaccard_coefficient",
+        "adamic_adar",
+        "resource_allocation",
+        explanation(F.col("mutual_friends")).alias("explanation"),
+    )
+
+
+def transform_pairs(edges: DataFrame, pairs: DataFrame, columns: list[str], scale: dict[str, tuple[float, float]], features: Callable[[DataFrame, DataFrame], DataFrame] = local_features) -> DataFrame:
+    """pairs(u, v) with their features as they are, and scaled as a model was fitted on them (scaled_<name>)."""
+    raw = clean_nonfinite(align(features(edges, pairs), columns), columns)
+    scaled = standard_scale(raw, scale).select("u", "v", *[F.col(c).alias(f"scaled_{c}") for c in columns])
+    return raw.select("u", "v", *columns).join(scaled, ["u", "v"])
 
 
 def analyze_pairs(edges: DataFrame, pairs: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -107,7 +107,12 @@ def parse_edge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.parse_edges(spark.createDataFrame([(x,) for x in LINES], "value string"))
 
 
-@register("karate_edges")
+def _karate_sql() -> str:
+    rows = [(a, b) for line in src.KARATE.split("\n") if line for a, *rest in [line.split()] for b in rest]
+    return f"SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v FROM (VALUES {', '.join(f'({a}, {b})' for a, b in rows)}) t(u, v)"
+
+
+@register("karate_edges", _karate_sql())
 def karate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.karate(spark)
 
@@ -387,7 +392,19 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.betweenness(save(suppliers(spark, sf_dir)), save))
 
 
-@register("betweenness_sampled")
+_PIVOTS = "pivots AS (SELECT id FROM nodes ORDER BY md5('42|between|' || id), id LIMIT 20)"
+_SAMPLED = BETWEEN.replace("between_ AS", "sampled AS").replace("WHERE t.s <> t.id", "WHERE t.s <> t.id AND t.s IN (SELECT id FROM pivots)")
+
+
+@register(
+    "betweenness_sampled",
+    sql(
+        SUPPLIERS, ADJ, NODES, PATHS, _PIVOTS, _SAMPLED,
+        final="""SELECT nodes.id, round(coalesce(b, 0) / (m.n - 1) / (m.n - 2) * m.n / least(m.n, 20), 8) AS betweenness
+        FROM nodes LEFT JOIN sampled USING (id), (SELECT max(n) AS n FROM n) m""",
+        recursive=True,
+    ),
+)
 def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.betweenness(save(suppliers(spark, sf_dir)), save, exact_up_to=20, pivots=20))
 
@@ -397,9 +414,20 @@ def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.degree_centrality(parts(spark, sf_dir)))
 
 
-@register("node_centralities")
+@register(
+    "node_centralities",
+    sql(
+        SUPPLIERS, ADJ, DEG, NODES, PATHS, CLOSE, BETWEEN, RANK,
+        final=f"""SELECT deg.id AS node_id, deg.d AS degree, round(CAST(deg.d AS DOUBLE) / (m.n - 1), 8) AS degree_centrality,
+        round(r.r, 8) AS pagerank, round(coalesce(b, 0) / (m.n - 1) / (m.n - 2), 8) AS betweenness_centrality,
+        round(closeness, 8) AS closeness_centrality
+        FROM deg JOIN r{RANK_ROUNDS} r ON r.id = deg.id JOIN close ON close.id = deg.id
+        LEFT JOIN between_ ON between_.id = deg.id, (SELECT max(n) AS n FROM n) m""",
+        recursive=True,
+    ),
+)
 def node_centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.node_centralities(save(suppliers(spark, sf_dir)), save))
+    return rounded(A.node_centralities(save(suppliers(spark, sf_dir)), save, rounds=RANK_ROUNDS, tolerance=0))
 
 
 @register("topk_centrality", sql(PARTS, ADJ, DEG, final="SELECT id, round(CAST(d AS DOUBLE) / ((SELECT count(*) FROM deg) - 1), 8) AS degree_centrality FROM deg ORDER BY d DESC, id LIMIT 10"))
@@ -444,9 +472,18 @@ def greedy_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.greedy_communities(save(suppliers(spark, sf_dir)))
 
 
-@register("label_propagation")
+def _labels_sql(rounds: int) -> str:
+    steps = ["l0 AS (SELECT id, id AS community FROM nodes)"]
+    for k in range(rounds):
+        seen = f"SELECT a.dst AS id, l.community AS c, count(*) AS n FROM adj a JOIN l{k} l ON l.id = a.src GROUP BY ALL"
+        best = f"SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY n DESC, c) AS r FROM ({seen})"
+        steps.append(f"l{k + 1} AS (SELECT id, c AS community FROM ({best}) WHERE r = 1)")
+    return ", ".join(steps)
+
+
+@register("label_propagation", sql(PARTS, ADJ, NODES, _labels_sql(10), final="SELECT id, community FROM l10"))
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.label_propagation(save(parts(spark, sf_dir)), save, rounds=5)
+    return A.label_propagation(save(parts(spark, sf_dir)), save)
 
 
 @register("graph_summary")
@@ -549,7 +586,29 @@ def transition_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.transition_probs(suppliers(spark, sf_dir), 0.5, 2.0))
 
 
-@register("walk_second_order")
+_STEPS = """s AS (SELECT prev, curr, next, sum(w) OVER (PARTITION BY prev, curr ORDER BY next ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY prev, curr) AS upto
+  FROM (SELECT a.src AS prev, a.dst AS curr, b.dst AS next, CASE WHEN b.dst = a.src THEN 2.0::DOUBLE
+  WHEN EXISTS (SELECT 1 FROM adj c WHERE c.src = a.src AND c.dst = b.dst) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS w
+  FROM adj a JOIN adj b ON b.src = a.dst))"""
+
+
+def _second_order_sql(length: int, per_node: int) -> str:
+    draw = "CAST('0x' || substr(md5('42|walk|' || start || '|' || walk || '|{}'), 1, 8) AS BIGINT)"
+    steps = [
+        f"w0 AS (SELECT id AS start, walk, id AS node FROM nodes, (SELECT unnest(range({per_node})) AS walk))",
+        f"w1 AS (SELECT start, walk, ix.dst AS node, node AS last FROM w0 JOIN deg ON deg.id = node JOIN ix ON ix.src = node AND ix.i = {draw.format(1)} % deg.d)",
+    ]
+    for k in range(2, length):
+        steps.append(
+            f"""w{k} AS (SELECT start, walk, arg_min(s.next, s.upto) AS node, any_value(node) AS last FROM w{k - 1} JOIN s ON s.prev = last AND s.curr = node
+            WHERE s.upto > CAST({draw.format(k)} AS DOUBLE) / 4294967296.0::DOUBLE GROUP BY start, walk)"""
+        )
+    indexed = "ix AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i FROM adj)"
+    every = " UNION ALL ".join(f"SELECT start, walk, {k} AS step, node FROM w{k}" for k in range(length))
+    return sql(SUPPLIERS, ADJ, DEG, NODES, indexed, _STEPS, *steps, final=every)
+
+
+@register("walk_second_order", _second_order_sql(WALK_LENGTH, WALKS))
 def walk_second_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.walks(save(suppliers(spark, sf_dir)), save, WALKS, WALK_LENGTH, p=0.5, q=2.0)
 
@@ -759,8 +818,12 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the forest, the boosted trees and the logistic regression, on the full feature set."""
     train, _ = _parts_of(spark, sf_dir)
-    return spark.createDataFrame(M.zoo(COLUMNS)["logistic_regression"].fit(train).importances(), "feature string, importance double")
+    rows = []
+    for name in ("random_forest", "boosted_trees", "logistic_regression"):
+        rows += [(name, *x) for x in M.zoo(COLUMNS)[name].fit(train).importances()]
+    return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
 @register("save_load_roundtrip")
@@ -808,13 +871,28 @@ def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mutual_friends(edges, all_pairs(edges)).select("u", "v", R.explanation(F.col("mutual_friends")).alias("explanation"))
 
 
-RECOMMEND = """pairs AS (SELECT user AS u, candidate AS v FROM capped)"""
+_DRAWN = """ranked AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank FROM nodes),
+draws AS (SELECT u.id AS user, min(j) AS j, CAST('0x' || substr(md5('42|fill|' || u.id || '|' || j), 1, 8) AS BIGINT) % (SELECT count(*) FROM nodes) AS rank
+  FROM nodes u, (SELECT unnest(range({draws})) AS j) GROUP BY u.id, rank),
+filled AS (SELECT user, candidate, place FROM (SELECT user, id AS candidate, row_number() OVER (PARTITION BY user ORDER BY j) AS place
+  FROM draws JOIN ranked USING (rank) WHERE draws.user <> id AND NOT EXISTS (SELECT 1 FROM adj WHERE src = draws.user AND dst = id)) WHERE place <= {most})"""
+_MERGED = """near AS (SELECT user, candidate, mutual FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY mutual DESC, candidate) AS r FROM cand) WHERE r <= {most}),
+short AS (SELECT n.id AS user, (SELECT count(*) FROM near WHERE near.user = n.id) AS held FROM nodes n),
+extra AS (SELECT f.user, f.candidate, held, row_number() OVER (PARTITION BY f.user ORDER BY place) AS r FROM filled f JOIN short USING (user)
+  WHERE held < {enough} AND NOT EXISTS (SELECT 1 FROM near WHERE near.user = f.user AND near.candidate = f.candidate))"""
+
+
+def _candidates_sql(enough: int, most: int) -> tuple[str, ...]:
+    return CANDIDATES, _DRAWN.format(draws=4 * most, most=most), _MERGED.format(enough=enough, most=most)
+
+
+RECOMMEND = """pairs AS (SELECT user AS u, candidate AS v FROM near UNION ALL SELECT user, candidate FROM extra WHERE r + held <= 150)"""
 _BEST = "best AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY probability DESC, v) AS rank FROM (SELECT *, round(round(ra, 12) / (1.0 + round(ra, 12)), 4) AS probability FROM b))"
 
 
 @register(
     "recommend_topk",
-    sql(SUPPLIERS, ADJ, DEG, CANDIDATES, RECOMMEND, FEATURES, MUTUAL, _BEST, final=f"SELECT u AS user, v AS candidate_id, rank, probability, CAST(len(m) AS BIGINT) AS mutual_friends_count, m AS mutual_friends, cn AS common_neighbors, {MEASURES['jaccard_coefficient']} AS jaccard_coefficient, round(aa, 8) AS adamic_adar, round(ra, 8) AS resource_allocation, {EXPLAIN} AS explanation FROM best JOIN mut USING (u, v) WHERE rank <= 10"),
+    sql(SUPPLIERS, ADJ, DEG, NODES, *_candidates_sql(20, 150), RECOMMEND, FEATURES, MUTUAL, _BEST, final=f"SELECT u AS user, v AS candidate_id, rank, probability, CAST(coalesce(len(m), 0) AS BIGINT) AS mutual_friends_count, coalesce(m, []::BIGINT[]) AS mutual_friends, cn AS common_neighbors, {MEASURES['jaccard_coefficient']} AS jaccard_coefficient, round(aa, 8) AS adamic_adar, round(ra, 8) AS resource_allocation, {EXPLAIN} AS explanation FROM best LEFT JOIN mut USING (u, v) WHERE rank <= 10"),
 )
 def recommend_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = lambda p: by_allocation(p.withColumn("resource_allocation", F.round("resource_allocation", 12)))
@@ -845,23 +923,83 @@ def radar_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.radar_profile(X.local_features(edges, X.two_hop_pairs(edges))))
 
 
-@register("what_if_score")
+#: The least node and the least one that it has no edge with. Five new friends have degree two each.
+_UNLINKED = """pairs AS (SELECT u, min(id) AS v FROM (SELECT min(id) AS u FROM nodes) JOIN nodes ON id <> u
+  WHERE NOT EXISTS (SELECT 1 FROM adj WHERE src = u AND dst = id) GROUP BY u)"""
+_WHAT_IF = "w AS (SELECT u, v, ra / (1.0 + ra) AS p0, (ra + 2.5) / (1.0 + ra + 2.5) AS p1 FROM b)"
+
+
+@register(
+    "what_if_score",
+    sql(
+        SUPPLIERS, ADJ, DEG, NODES, _UNLINKED, FEATURES, _WHAT_IF,
+        final="""SELECT u, v, round(p0, 8) AS base_probability, round(p1, 8) AS new_probability,
+        round(p1 - p0, 8) AS probability_change, round(5 / ln(2.0::DOUBLE), 8) AS adamic_adar_change FROM w""",
+    ),
+)
 def what_if_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = save(suppliers(spark, sf_dir))
-    pair = S.non_edges(edges).orderBy("u", "v").first()
-    return rounded(R.what_if(edges, pair["u"], pair["v"], 5, by_allocation))
+    u = G.nodes(edges).agg(F.min("id")).first()[0]
+    near = G.adjacency(edges).where(F.col("src") == u).select(F.col("dst").alias("id"))
+    v = G.nodes(edges).where(F.col("id") != u).join(near, "id", "left_anti").agg(F.min("id")).first()[0]
+    return rounded(R.what_if(edges, u, v, 5, by_allocation))
 
 
-@register("candidates_fill", sql(SUPPLIERS, ADJ, NODES, "pairs AS (SELECT a.id AS u, b.id AS v FROM nodes a JOIN nodes b ON a.id <> b.id)", final="SELECT u AS user, v AS candidate FROM (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY md5('42|fill|' || u || '|' || v), v) AS r FROM pairs WHERE NOT EXISTS (SELECT 1 FROM adj WHERE src = u AND dst = v)) WHERE r <= 20"))
+@register("candidates_fill", sql(SUPPLIERS, ADJ, NODES, _DRAWN.format(draws=600, most=150), final="SELECT user, candidate, place FROM filled"))
 def candidates_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill(save(suppliers(spark, sf_dir)), 20)
+    edges = save(suppliers(spark, sf_dir))
+    return R.fill(edges, G.nodes(edges))
+
 
+@register(
+    "candidates",
+    sql(
+        SUPPLIERS, ADJ, NODES, *_candidates_sql(25, 30),
+        final="SELECT user, candidate, mutual FROM near UNION ALL SELECT user, candidate, 0 FROM extra WHERE r + held <= 30",
+    ),
+)
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.candidates(save(suppliers(spark, sf_dir)), enough=25, most=30)
 
-def fill(edges: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """Up to `most` non-neighbours of each user in the order of their MD5: for users with few candidates."""
-    from pyspark.sql import Window as W
 
-    ids = G.nodes(edges)
-    pairs = ids.toDF("user").join(ids.toDF("candidate"), F.col("user") != F.col("candidate")).join(G.adjacency(edges).toDF("user", "candidate"), ["user", "candidate"], "left_anti")
-    order = W.partitionBy("user").orderBy(hashing.key(seed, "fill", "user", "candidate"), "candidate")
-    return pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+@register("recommend_fitted")
+def recommend_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations by a random forest on the local features of the training graph, with drawn candidates."""
+    train, known = _local_train(spark, sf_dir)
+    model = M.zoo(list(X.LOCAL))["random_forest"].fit(train)
+    return rounded(R.recommend(known, model.transform, top=10, full_graph=suppliers(spark, sf_dir)))
+
+
+@register("transform_pair")
+def transform_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw features of the test pairs and the same as a model of the training pairs sees them."""
+    edges = save(suppliers(spark, sf_dir))
+    pairs = save(S.labeled_pairs(edges, save))
+    known = save(pairs.where("split = 'train' and label = 1").select("u", "v"))
+    train = M.clean_nonfinite(X.local_features(known, pairs.where("split = 'train'")), list(X.LOCAL))
+    scale = M.fit_scale(train, list(X.LOCAL))
+    return rounded(R.transform_pairs(known, pairs.where("split = 'test'").select("u", "v"), list(X.LOCAL), scale), 6)
+
+
+def _local_train(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Training pairs with local features, and the training graph."""
+    pairs = save(S.labeled_pairs(save(suppliers(spark, sf_dir)), save))
+    known = save(pairs.where("split = 'train' and label = 1").select("u", "v"))
+    return save(X.local_features(known, pairs.where("split = 'train'"))), known
+
+
+@register("assemble_features")
+def assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labelled pairs with the sixteen features of pairs and the twelve of embeddings, joined on (u, v)."""
+    return rounded(all_features(save(suppliers(spark, sf_dir))))
+
+
+@register("leaderboard_csv", sql(*SCORE_CTES, final="SELECT u, v, label, round(score, 8) AS score FROM scored", recursive=True))
+def leaderboard_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored pairs written as CSV with a header and read again: the sink of leaderboards."""
+    from weft.sources.scratch import scratch
+
+    path = scratch(spark, "csv")
+    out = heuristic_scored(spark, sf_dir).select("u", "v", "label", F.round("score", 8).alias("score"))
+    out.write.option("header", True).csv(path)
+    return spark.read.schema(out.schema).option("header", True).csv(path)
