@@ -40,20 +40,29 @@ def _header(value: str) -> str:
     return "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def record_id(page_id: int | None, url: str | None, digest: bytes, ordinal: int) -> str:
+    """The id of the ordinal-th of equal records: of one page id and payload, or of one URL and payload without page id."""
+    name = f"page {page_id}" if page_id is not None else f"url {url}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{name} {digest.hex()} {ordinal}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, ordinal: int = 0, refers_url: str | None = None) -> bytes:
     """A response record, or with refers_to a revisit record without the payload."""
     digest = hashlib.sha1(payload).digest()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {i}')}>"
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}"]
+    kind = "response" if refers_to is None else "revisit"
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url, digest, ordinal)}", f"WARC-Date: {date}"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if url is not None:
         head.append(f"WARC-Target-URI: {_header(url)}")
     head += [f"WARC-Payload-Digest: sha1:{base32(digest)}", f"WARC-Block-Digest: sha1:{base32(hashlib.sha1(block).digest())}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, None, digest, 0)}", f"WARC-Refers-To-Date: {date}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_header(refers_url)}")
+        head.append(f"X-Refers-To-Page-Id: {refers_to}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -113,29 +122,36 @@ def write(pages: DataFrame, folder: str, row_id: str = "page_id", url: str = "ur
     tune(pages.sparkSession)
     rows = pages.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(url).alias("url"), F.coalesce(F.col(source), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    narrow = rows.where(F.octet_length("payload") >= least_revisit).select("digest", "row_id")
+    narrow = rows.where(F.octet_length("payload") >= least_revisit).select("digest", F.when(F.col("row_id").isNotNull(), F.struct("row_id", "url")).alias("page"))
     # Only payloads that occur twice; a join with it is split where one payload fills a partition.
-    copies = materialize(narrow.groupBy("digest").agg(F.min("row_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-copies")
+    firsts = narrow.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = materialize(firsts.select("digest", F.col("first.row_id").alias("first_id"), F.col("first.url").alias("first_url")), "warc-copies")
     total = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    key = F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce(F.col("row_id").cast("string"), F.lit("")), "digest")
+    # Records of one id and payload lie side by side; those without id are told apart by URL.
+    key = F.xxhash64(F.coalesce(F.col("row_id").cast("string"), "url", F.lit("")), "digest")
     # The top 31 bits of the key, times the shards: cuts at fixed places of the key's range.
     place = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 33)
-    joined = rows.join(copies, "digest", "left").select("row_id", "url", "payload", F.when(F.col("row_id").isNull() | (F.col("first_id") != F.col("row_id")), F.col("first_id")).alias("refers_to"), key.alias("key"))
+    refers = F.when(F.col("row_id").isNull() | (F.col("first_id") != F.col("row_id")), F.col("first_id"))
+    joined = rows.join(copies, "digest", "left").select("row_id", "url", "payload", "digest", refers.alias("refers_to"), "first_url", key.alias("key"))
     slices = F.lit(max(shards, 1))
-    dealt = joined.withColumn("shard", F.shiftright(place * slices, 31)).repartitionByRange("shard").sortWithinPartitions("shard", "key", "row_id")
+    dealt = joined.withColumn("shard", F.shiftright(place * slices, 31)).repartitionByRange("shard").sortWithinPartitions("shard", "key", "row_id", "digest", "url")
+
+    columns = ["row_id", "url", "payload", "digest", "refers_to", "first_url", "shard"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = _Files(folder, roll_bytes)
+        files, before, ordinal = _Files(folder, roll_bytes), None, 0
         for b in batches:
-            for page_id, link, payload, refers_to, shard in zip(*(b.column(c).to_pylist() for c in ("row_id", "url", "payload", "refers_to", "shard"))):
-                files.write(shard, member(record(page_id, link, payload, refers_to, date)))
+            for page_id, link, payload, digest, refers_to, first_url, shard in zip(*(b.column(c).to_pylist() for c in columns)):
+                same = (page_id, link if page_id is None else None, digest)
+                before, ordinal = same, ordinal + 1 if same == before else 0
+                files.write(shard, member(record(page_id, link, payload, refers_to, date, ordinal, first_url)))
             yield from files.manifest()
         files.close()
         yield from files.manifest()
 
     _make_folder(pages.sparkSession, folder)
-    listed = dealt.select("row_id", "url", "payload", "refers_to", "shard").mapInArrow(task, "shard bigint, file string, records bigint, bytes bigint, sha256 string")
+    listed = dealt.select(*columns).mapInArrow(task, "shard bigint, file string, records bigint, bytes bigint, sha256 string")
     return materialize(listed, "warc-manifest")
 
 
