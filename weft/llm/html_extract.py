@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import per_batch, tune
 
-_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)""", re.S)
+_TAG = re.compile(r"""<!--(?:.*?-->|.*)|(<!\[CDATA\[)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _RAW_END = {name: re.compile(rf"</{name}[\s/>]|</{name}$", re.I) for name in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 
@@ -131,6 +131,7 @@ class _Page:
                 k -= 1
             return k
 
+        sections = True
         while pos < end:
             found = _TAG.search(source, pos)
             if found is None:
@@ -141,7 +142,14 @@ class _Page:
             pos = found.end()
             cdata, slash, name, attrs, slash2, name2, attrs2 = found.groups()
             if cdata is not None:
-                add(cdata.replace("&", "&amp;"))
+                stop = source.find("]]>", pos) if sections else -1
+                if stop >= 0:
+                    add(source[pos:stop].replace("&", "&amp;"))
+                    pos = stop + 3
+                else:  # nor is there one for a later section: a declaration, up to the next >
+                    sections = False
+                    shut = source.find(">", pos)
+                    pos = end if shut < 0 else shut + 1
                 continue
             if name is None:
                 slash, name, attrs = slash2, name2, attrs2
