@@ -164,6 +164,19 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/w4", least).where("record_type = 'revisit'").count() == 0
 
 
+def test_warc_record_ids_are_unique(spark, tmp_path):
+    """Repeated and null page ids have record ids of their own, and revisits refer to one that exists."""
+    rows = [(1, "u1", "<p>a"), (1, "u1", "<p>a"), (1, "u2", "<p>a"), (1, "u1", "<p>b"), (None, "u3", "<p>a"), (None, "u4", "<p>a"), (None, "u4", "<p>a"), (None, None, None), (2, None, None), (3, "u5", "<p>a")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    manifest = warc.write(pages, f"file://{tmp_path}/ids", least_revisit=0)
+    heads = [h for r in manifest.collect() for h, _ in warc.records((tmp_path / "ids" / r["file"]).read_bytes())]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(ids) == len(rows) == len(set(ids))
+    responses = {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert revisits and all(h["WARC-Refers-To"] in responses and "WARC-Refers-To-Date" in h for h in revisits)
+
+
 def test_langid(spark, docs, empty):
     table = spark.read.parquet(f"{SF}/documents.parquet").withColumn("held_out", langid.held_out())
     model = langid.train(table.where("not held_out"))
@@ -291,6 +304,12 @@ def test_html(spark):
     assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_html_sections_without_end():
+    assert html_extract.extract_text("<p>a <![CDATA[b & c]]> d <![CDATA[e > f") == "a b & c d f"
+    assert html_extract.extract_text("<p>a" + "<![CDATA[" * 200_000) == "a"
+    assert html_extract.extract_text("<p>a" + "<![CDATA[x>" * 100_000 + "b") == "ab"
+
+
 def test_html_plain_layout():
     body = "".join(f"<p>Paragraph {k}, with some words, and others.</p>" for k in range(5))
     page = f"<body><div id=menu><a href=1>One</a> <a href=2>Two</a></div><div><div class=story>{body}</div><div><a href=x>More, stories, here</a></div></div></body>"
@@ -338,6 +357,18 @@ def test_compact_windows():
     assert set(zip(left.tolist(), c.tolist(), right.tolist())) == want
 
 
+def test_compact_windows_reach_to_the_next_smaller_value():
+    """Windows of long documents end at the nearest smaller hash, however far it is."""
+    rng = np.random.default_rng(9)
+    code = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    left, c, right, _ = passages.compact_windows(code, np.array([0, 8000, 9000]), 46, 1)
+    x = passages.mix64(code ^ passages._SEEDS[1]) >> np.uint64(24)
+    for a, k, b in zip(left, c, right):
+        lo, hi = (0, 8000) if k < 8000 else (8000, 9000)
+        assert (x[a : b + 1] >= x[k]).all() and (a == lo or x[a - 1] <= x[k]) and (b + 1 == hi or x[b + 1] <= x[k])
+    assert (right - left).max() >= 7999
+
+
 def test_licenses(spark, docs, empty):
     mit = dict(licenses.TEMPLATES)["mit"]
     w = mit.split()
