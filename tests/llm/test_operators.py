@@ -285,6 +285,32 @@ def test_ngram_join_chains(spark):
     assert got == brute.components(rows, 3, 90)
 
 
+def test_ngram_join_groups_of_edited_copies(spark):
+    """A group with copies on both sides of the threshold, short texts, and repeated and null ids."""
+    rng = random.Random(5)
+    lexicon = [f"w{i}" for i in range(60)]
+    base = [rng.choice(lexicon) for _ in range(90)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(90)] = rng.choice(lexicon)
+        rows.append((i, " ".join(w)))
+    for i in range(30):
+        w = [rng.choice(lexicon) for _ in range(rng.randrange(1, 30))]
+        rows.append((200 + 2 * i, " ".join(w)))
+        rows.append((201 + 2 * i, " ".join(["zz", *w[1:]])))
+    want = brute.components(rows, 3, 90)
+    # Id 900 has two texts, each equal to another row's: one vertex joins both.
+    odd = [(900, rows[0][1]), (900, rows[120][1]), (None, rows[1][1]), (None, "a b c d e f g")]
+    frame = spark.createDataFrame(rows + odd, "doc_id bigint, text string").withColumn("component_id", F.lit("clash"))
+    got = [tuple(r) for r in ngram_join.jaccard_components(frame, n=3, percent=90).collect()]
+    assert len(got) == len(rows) + 4 and sum(r[0] is None for r in got) == 2
+    a, b = want[0][1], want[200][1]
+    known = {r[0]: (r[1], r[2]) for r in got if r[0] is not None and r[0] != 900}
+    assert known == {i: (n, min(a, b) if c in (a, b) else c) for i, (n, c) in want.items()}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><script>var a="</p>";</script><style>p{}</style></head><body class="has-sidebar">
 <header><a href=/>Home</a></header><nav><ul><li><a href=/a>A</a></ul></nav><div class="cookie-notice">We use cookies, many, many.</div>
 <main><article><header><h1>Head  line</h1></header><p>First &eacute;, &lt;b&gt;\n  text, that is long enough, <b>bold</b>.<br>Next<p>Second &#x41;

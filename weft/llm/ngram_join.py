@@ -221,7 +221,7 @@ def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     links, labels = _stars(shared, marks, known)
     rest = known.verified(_candidates(shared, labels, percent, save))
     release(spark, shared)
-    links = rest if links is None else links.unionByName(rest)
+    links = (rest if links is None else links.unionByName(rest)).unionByName(_twins(narrow, classes, save))
     found = save(connected_components(links, save, "x", "y")).toDF("rep", "component_id")
     grouped = classes.join(found, "rep", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
     columns = lambda component: (F.col("doc_id").alias(row_id), F.col("n_tokens").alias("n_shingles"), F.col(component).alias("component_id"))
@@ -230,6 +230,15 @@ def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     return linked.unionByName(narrow.where("n_tokens = 0").select(*columns("doc_id")))
 
 
+def _twins(narrow: DataFrame, classes: DataFrame, save: Save) -> DataFrame:
+    """Links (x, y) of the classes that rows of one id belong to: a repeated id is one vertex."""
+    rows = narrow.where("n_tokens > 0 and doc_id is not null")
+    repeated = rows.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("doc_id")
+    ends = save(rows.join(repeated, "doc_id", "left_semi").join(classes, ["s1", "s2"]).select("doc_id", "rep"))
+    least = ends.groupBy("doc_id").agg(F.min("rep").alias("y"))
+    return ends.join(least, "doc_id").where("rep <> y").select(F.col("rep").alias("x"), "y")
+
+
 def _extensions(percent: int) -> tuple[Column, Column]:
     """The least extension whose prefix holds a posting's token: against any partner, and against one not smaller.
 
