@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 documents' columns; the last adds what the mix takes of each document.
 
 Operators decide about rows, by a key that a stage gives to each (ROW): ids may be null or repeated. A null id
-comes after all others where the smallest one stays.
+comes after all others where the smallest one stays. The copy that holds the keys is deleted when a later stage
+makes its own, so a stage's result is to be written before a stage is called on another table.
 """
 
 from __future__ import annotations
@@ -13,15 +14,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import decontaminate, exact_dedup, langid, mixing, ngram_join
-from weft.llm.common import materialize, release, scratch, table
+from weft.llm.common import delete, materialize, release, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ROW = "row_key"
 
+#: Folders of the keyed copies that stages have made and not yet deleted.
+_copies: set[str] = set()
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+def _forget(spark: SparkSession, docs: DataFrame) -> None:
+    """Delete the keyed copies of earlier stages, but for those that docs still reads."""
+    unread = _copies - _folders(docs) if _copies else set()
+    for path in unread:
+        delete(spark, path)
+    _copies.difference_update(unread)
+    release(spark)
+
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with a key of their own for each row, saved, as a recomputation could change it."""
-    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "keyed")
+    _forget(docs.sparkSession, docs)
+    copy = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "keyed")
+    _copies.update(_folders(copy))
+    return copy
 
 
 def _firsts(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
@@ -30,6 +50,13 @@ def _firsts(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
     return docs.select(ROW, order.alias("place")).join(groups.select(ROW, group), ROW).groupBy(group).agg(F.min("place").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
 
 
+def _one_of_each(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """The rows of _firsts, joined when the operator's own shuffles are gone. Both sides grow with the input: no broadcast."""
+    firsts = materialize(_firsts(docs, groups, group), "firsts")
+    release(docs.sparkSession)
+    return docs.join(firsts.hint("merge"), ROW, "left_semi").select(*COLUMNS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a language: null texts and texts without letters.
 
@@ -45,14 +72,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keep the document with the smallest id; of repeated rows one."""
     docs = _keyed(docs)
     groups = exact_dedup.exact_dedup(docs, row_id=ROW)
-    return docs.join(_firsts(docs, groups, "keep_id"), ROW, "left_semi").select(*COLUMNS)
+    return _one_of_each(docs, groups, "keep_id")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 keep the one with the smallest id."""
     docs = _keyed(docs)
     groups = ngram_join.jaccard_components(docs, row_id=ROW, n=5, percent=80)
-    return docs.join(_firsts(docs, groups, "component_id"), ROW, "left_semi").select(*COLUMNS)
+    return _one_of_each(docs, groups, "component_id")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,6 +112,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        release(spark)
         docs = spark.read.parquet(path)
+        _forget(spark, docs)
     return docs
