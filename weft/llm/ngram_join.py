@@ -218,14 +218,15 @@ def jaccard_components(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     marks, all_marks = save(marks.join(shared.select("rep").distinct(), "rep", "left_semi")), marks
     release(spark, all_marks)
     known = Classes(marks.drop("central"), rows, n, percent, save)
-    links, labels = _stars(shared, marks, known)
+    labels = _stars(shared, marks, known)
     rest = known.verified(_candidates(shared, labels, percent, save))
     release(spark, shared)
-    links = (rest if links is None else links.unionByName(rest)).unionByName(_twins(narrow, classes, save))
-    found = save(connected_components(links, save, "x", "y")).toDF("rep", "component_id")
-    grouped = classes.join(found, "rep", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
+    # Twins may be classes that share no token with another one.
+    named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    labels = save(named.select("s1", "s2", F.col("rep").alias("id"), F.coalesce("component", "rep").alias("component")))
+    grouped = _merged(labels, rest.unionByName(_twins(narrow, classes, save)), save).select("s1", "s2", F.col("component").alias("component_id"))
     columns = lambda component: (F.col("doc_id").alias(row_id), F.col("n_tokens").alias("n_shingles"), F.col(component).alias("component_id"))
-    linked = narrow.where("n_tokens > 0").join(save(grouped), ["s1", "s2"], "left").select(*columns("component_id"))
+    linked = narrow.where("n_tokens > 0").join(grouped, ["s1", "s2"], "left").select(*columns("component_id"))
     # Rows without words have one key: they aren't joined.
     return linked.unionByName(narrow.where("n_tokens = 0").select(*columns("doc_id")))
 
@@ -272,11 +273,11 @@ def _shared(reps: DataFrame, percent: int, save: Save) -> DataFrame:
     return shared
 
 
-def _stars(shared: DataFrame, marks: DataFrame, known: Classes) -> tuple[DataFrame | None, DataFrame]:
-    """Links of classes with pivots, and labels (id, component): equal labels prove two classes connected."""
+def _stars(shared: DataFrame, marks: DataFrame, known: Classes) -> DataFrame:
+    """Labels (id, component) of classes: the components of their links with pivots."""
     save, percent = known.save, known.percent
     # A repeated id has several sets and is one vertex.
-    links, labels = None, save(marks.groupBy(F.col("rep").alias("id"), F.col("rep").alias("component")).agg(F.max("central").alias("central")))
+    labels = save(marks.groupBy(F.col("rep").alias("id"), F.col("rep").alias("component")).agg(F.max("central").alias("central")))
     for k in range(STAR_ROUNDS):
         at = shared.join(labels.withColumnRenamed("id", "rep"), "rep")
         # The first round's pivots are the most central classes, later ones those of components in hashed order.
@@ -294,11 +295,10 @@ def _stars(shared: DataFrame, marks: DataFrame, known: Classes) -> tuple[DataFra
         found = known.verified(star)
         linked = found.count()
         if linked:
-            links = found if links is None else links.unionByName(found)
-            labels = save(_hooked(labels, found))
+            labels = _merged(labels, found, save)
         if linked * STAR_YIELD < star.count() or not linked:
             break
-    return links, labels
+    return labels
 
 
 def _candidates(shared: DataFrame, labels: DataFrame, percent: int, save: Save) -> DataFrame:
@@ -347,13 +347,14 @@ def _candidates(shared: DataFrame, labels: DataFrame, percent: int, save: Save)
     return matched.groupBy("x", "y", "l").agg(F.count("*").alias("c")).where("c >= l").select("x", "y")
 
 
-def _hooked(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """Labels after each one with a link to a smaller label takes the least of those, and that one's too.
+def _merged(labels: DataFrame, links: DataFrame, save: Save) -> DataFrame:
+    """Labels (id, component, ...) when components with links (x, y) between them have become one, named by the least.
 
-    Equal labels stay a proof that two classes are connected; that all connected ones agree is not needed here.
+    Whatever the order of ids, no two components that a link connects stay apart: the exact join would match the
+    members of both with each other.
     """
-    lx, ly = labels.toDF("x", "cx", "_"), labels.toDF("y", "cy", "_")
-    ends = found.join(lx.drop("_"), "x").join(ly.drop("_"), "y").where("cx <> cy").select(F.greatest("cx", "cy").alias("component"), F.least("cx", "cy").alias("to"))
-    least = ends.groupBy("component").agg(F.min("to").alias("to"))
-    twice = least.join(least.toDF("to", "further"), "to", "left").select("component", F.coalesce("further", "to").alias("to"))
-    return labels.join(twice, "component", "left").select("id", F.coalesce("to", "component").alias("component"), "central")
+    lx, ly = (labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")) for end in "xy")
+    between = links.join(lx, "x").join(ly, "y").where("cx <> cy").select("cx", "cy")
+    least = connected_components(between, save, "cx", "cy").toDF("component", "least")
+    others = [c for c in labels.columns if c != "component"]
+    return save(labels.join(least, "component", "left").select(*others, F.coalesce("least", "component").alias("component")))
