@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weft.llm import decontaminate, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, passages, substrings, warc
+from weft.llm import centroids, codebooks, decontaminate, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, passages, substrings, warc
 from weft.llm.common import scratch, table
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
@@ -151,6 +152,57 @@ FROM windows WHERE share >= {licenses.CONTAINMENT} GROUP BY doc_id, license
 """
 
 
+def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.compress(table(spark, sf_dir, "embeddings"))
+    full = codebooks.with_label_error(coded)
+    return full.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered, centres = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.hashes(clustered, centres).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+_INTEGERS = """SELECT row_number() OVER () AS r, *, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+_SQUARED = "list_sum(list_transform(list_zip({}, {}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_FLOOR = "({s} - ((({s}) % {n}) + {n}) % {n}) // {n}"
+
+
+def _op11_sql(rounds: int = 2) -> str:
+    """Rounds written out: parts are matched with all entries of their codebook, then entries are averaged."""
+    steps = [f"""q AS MATERIALIZED ({_INTEGERS}),
+parts AS MATERIALIZED (SELECT r, vec_id, p, x[p * (len(x) // 16) + 1 : (p + 1) * (len(x) // 16)] AS v FROM q, range(16) t(p)),
+seeds AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM q ORDER BY vec_id LIMIT 64),
+b0 AS MATERIALIZED (SELECT p, k, v FROM parts JOIN seeds USING (r))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, p, min({{'d': {_SQUARED.format("parts.v", f"b{i}.v")}, 'k': k}}) AS m FROM parts JOIN b{i} USING (p) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT p, k, c, sum(x) AS s, count(*) AS n FROM (SELECT p, m.k AS k, unnest(v) AS x, generate_subscripts(v, 1) AS c FROM parts JOIN a{i} USING (r, p)) GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(any_value(t.v), any_value(b.v)) AS v FROM b{i} b LEFT JOIN
+  (SELECT p, k, list(CAST({_FLOOR.format(s="s", n="n")} AS BIGINT) ORDER BY c) AS v FROM s{i} GROUP BY p, k) t ON t.p = b.p AND t.k = b.k GROUP BY b.p, b.k)""")
+    steps.append(f"""coded AS (SELECT r, string_agg(printf('%02x', m.k), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, k, c)) FROM (SELECT p, k, unnest(v) AS x, generate_subscripts(v, 1) AS c FROM b{rounds})) AS codebooks_sha256
+FROM coded JOIN q USING (r)"""
+
+
+def _op13_sql(rounds: int = 5) -> str:
+    steps = [f"""q AS MATERIALIZED (SELECT * FROM ({_INTEGERS}) WHERE len(x) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k, x AS v FROM q ORDER BY sha256('2:' || vec_id) LIMIT 40)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, min({{'d': {_SQUARED.format("x", "v")}, 'k': k}}) AS m FROM q, c{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT k, c, sum(x) AS s, count(*) AS n FROM (SELECT m.k AS k, unnest(x) AS x, generate_subscripts(x, 1) AS c FROM q JOIN a{i} USING (r)) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT b.k, coalesce(any_value(t.v), any_value(b.v)) AS v FROM c{i} b LEFT JOIN
+  (SELECT k, list(CAST({_FLOOR.format(s="s", n="n")} AS BIGINT) ORDER BY c) AS v FROM s{i} GROUP BY k) t ON t.k = b.k GROUP BY b.k)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM q JOIN a{rounds} USING (r) JOIN c{rounds} c ON c.k = m.k"""
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_mixing": op2_mixing,
@@ -162,6 +214,8 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_passages": op9_passages,
     "op10_licenses": op10_licenses,
+    "op11_codebooks": op11_codebooks,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES = {
@@ -170,4 +224,6 @@ ORACLES = {
     "op4_warc": OP4_SQL,
     "op7_ngram_join": OP7_SQL,
     "op10_licenses": OP10_SQL,
+    "op11_codebooks": _op11_sql(),
+    "op13_centroids": _op13_sql(),
 }
