@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import centroids, codebooks, decontaminate, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, passages, substrings, warc
+from weft.llm import centroids, codebooks, decontaminate, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, passages, substrings, tokenfile, warc
 from weft.llm.common import scratch, table
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
@@ -158,6 +158,14 @@ def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = scratch(spark, "ids")
+    manifest = tokenfile.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read(spark, folder, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     clustered, centres = centroids.cluster(table(spark, sf_dir, "embeddings"))
     return centroids.hashes(clustered, centres).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -215,6 +223,7 @@ QUERIES = {
     "op9_passages": op9_passages,
     "op10_licenses": op10_licenses,
     "op11_codebooks": op11_codebooks,
+    "op12_token_files": op12_token_files,
     "op13_centroids": op13_centroids,
 }
 
