@@ -96,7 +96,10 @@ def test_pieces_equal_whole_texts(plain, monkeypatch):
     odd = usual + [chr(c) for c in (0xA0, 0x2003, 0x0B, 0x0C, 0x1C, 0x180E, 0x85, 0x200B, 0xFEFF, 0x2028)]
     texts = ["".join(rng.choice(odd if k % 3 == 0 else usual) for _ in range(rng.randint(0, 16))) for k in range(4000)]
     assert all(np.frombuffer(encoder.ids(t), "<u2").tolist() == plain(t) for t in texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.batch([None, *texts, ""])] == [[], *map(plain, texts), []]
+    assert all(np.frombuffer(x, "<u2").tolist() == plain(t) for x, t in zip(tokenfile.Encoder(PATH, pieces=False).batch(texts[:50]), texts))
     monkeypatch.setattr(tokenfile, "_SLICE", 20)
+    monkeypatch.setattr(tokenfile, "_CHUNK", 30)
     monkeypatch.setattr(tokenfile, "_MOST", 50)
     monkeypatch.setattr(tokenfile, "_LONGEST", 3)
     texts = ["".join(rng.choice(odd if k % 3 == 0 else usual) for _ in range(200)) for k in range(300)] + ["x" * 500]

@@ -43,19 +43,23 @@ _MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.st
 
 # ---- tokenising --------------------------------------------------------------------------------------------
 
-#: A text's pieces: white space, then what isn't. Byte-level pre-tokenising never joins the end of one piece to the next.
-_PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: White space beyond that of _PIECE, and what some Unicode version counts as such: texts with it are encoded whole.
-_OTHER_SPACE = re.compile("[^\\S \t\n\r]|[\u180e\u200b\ufeff]")
-_CUT = re.compile("(?<![\\s\u180e\u200b\ufeff])(?=[ \t\n\r])")
-_SLICE, _LONGEST, _MOST = 1 << 20, 48, 300_000
+#: White space but blanks and line feeds, and what some Unicode version counts as such: such texts are encoded whole.
+_OTHER_SPACE = tuple(chr(c) for c in (*range(9, 10), *range(11, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+#: Runs of white space that belong to one id. Shorter ones, but at the end, are encoded one by one.
+_RUN = re.compile("[ \n]{3}|[ \n]{2}$")
+_CUT = re.compile("(?<![\\s\u180e\u200b\ufeff])(?=[ \n])")
+#: What follows a letter as a piece of its own.
+_MARKS = ".,;:!?)"
+_SLICE, _CHUNK, _LONGEST, _MOST = 1 << 20, 1 << 16, 48, 1 << 20
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes. Pieces that were seen before aren't encoded again.
+    """Ids of texts as little-endian bytes. Words that were seen before aren't encoded again.
 
-    For byte-level BPE files, whose pieces are independent: pieces=False encodes texts whole instead.
-    Strings of special tokens in a text are ordinary text.
+    For byte-level BPE files with their usual pattern, by which nothing joins the end of a word to the white
+    space after it: words, each with the blank or line feed before it, are encoded independently of each other,
+    new ones of many texts as one text, whose ids are cut by the bytes that they stand for. pieces=False, for
+    other files, encodes texts whole. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, pieces: bool = True) -> None:
@@ -63,9 +67,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.pieces, self.known = pieces, {}
+        self.pieces = pieces
+        self.width = np.zeros(self.size, np.int64)  # bytes that an id stands for
+        for token, k in vocabulary.items():
+            self.width[k] = len(token)
+        self.single = {m: self._encode([m])[0] for m in [*_MARKS, " ", "\n"]}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = {"": self.single[" "], "\n": self.single["\n"]}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -80,29 +93,73 @@ class Encoder:
             at = cut.start()
         yield text[at:]
 
-    def _slice(self, text: str) -> bytes:
-        if _OTHER_SPACE.search(text):
-            return self._encode([text])[0]
-        found = _PIECE.findall(text)
-        new = list(set(found).difference(self.known))
-        long = {}
-        if new:
-            for piece, ids in zip(new, self._encode(new)):
-                (self.known if len(piece) <= _LONGEST else long)[piece] = ids
-        if long:
-            out = b"".join([long[p] if p in long else self.known[p] for p in found])
-        else:
-            out = b"".join(map(self.known.__getitem__, found))
+    def _words(self, text: str) -> list[str] | None:
+        """The text's words; one without a line feed before it has a blank there. None: they can't stand alone."""
+        words = text.replace("\n", " \n").split(" ")
+        if not words[0] or ("" in words or "\n" in words) and _RUN.search(text) or any(c in text for c in _OTHER_SPACE):
+            return None
+        return words
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Add words to those known; returns those that are too long to be kept."""
+        marked = [w for w in words if w[-1] in _MARKS and w[-2:-1].isalpha()]
+        new = words.difference(marked).union([w[:-1] for w in marked]).difference(self.known)
+        chunk, size, chunks = [], 0, []
+        for w in new:
+            chunk.append(w if w[0] == "\n" else " " + w)
+            size += len(w)
+            if size > _CHUNK:
+                chunks.append(chunk)
+                chunk, size = [], 0
+        chunks.append(chunk)
+        for chunk, ids in zip(chunks, self._encode(["".join(c) for c in chunks])):
+            ends = np.cumsum([len(w.encode()) for w in chunk])
+            upto = np.cumsum(self.width[np.frombuffer(ids, self.kind)])
+            cuts = np.searchsorted(upto, ends)
+            if not (upto[cuts] == ends).all():
+                raise ValueError("the tokenizer joins words: use pieces=False")
+            cuts = [0, *((cuts + 1) * self.kind.itemsize).tolist()]
+            for w, a, b in zip(chunk, cuts, cuts[1:]):
+                self.known[w if w[0] == "\n" else w[1:]] = ids[a:b]
+        for w in marked:
+            self.known[w] = self.known[w[:-1]] + self.single[w[-1]]
+        return [w for w in (*new, *marked) if len(w) > _LONGEST]
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; null and empty texts have none."""
         if len(self.known) > _MOST:
-            self.known.clear()
+            self._forget()
+        out: list = [b""] * len(texts)
+        plans, new, whole, heads = [], set(), [], []
+        for k, text in enumerate(texts):
+            for part in self._slices(text) if text else ():
+                # A slice after the first begins with white space: an empty word would stand before it.
+                words = self._words(part) if self.pieces else None
+                plans.append((k, words, len(whole)))
+                if words is None:
+                    whole.append(part)
+                    continue
+                heads.append(words.pop(0))
+                got = list(map(self.known.get, words))
+                if None in got:
+                    new.update([w for w, g in zip(words, got) if g is None])
+                else:
+                    plans[-1] = (k, b"".join(got), len(whole))
+        whole_ids = self._encode(whole)
+        head_ids = iter(self._encode(heads))
+        long = self._learn(new) if new else []
+        for k, words, at in plans:
+            if words is None:
+                ids = whole_ids[at]
+            else:
+                ids = next(head_ids) + (words if isinstance(words, bytes) else b"".join(map(self.known.__getitem__, words)))
+            out[k] = out[k] + ids if out[k] else ids
+        for w in long:
+            self.known.pop(w, None)
         return out
 
     def ids(self, text: str) -> bytes:
-        if not self.pieces:
-            return self._encode([text])[0] if text else b""
-        if len(text) <= _SLICE:
-            return self._slice(text) if text else b""
-        return b"".join(map(self._slice, self._slices(text)))
+        return self.batch([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -126,7 +183,7 @@ def tokenise(docs: DataFrame, path: str, text: str = "text", row_id: str = "doc_
             if encoder is None:
                 encoder = _encoder(path, pieces)
                 last, count = np.array([end], encoder.kind).tobytes(), np.zeros(encoder.size, np.int64)
-            ids = [encoder.ids(t) + last if t else last for t in b.column("text").to_pylist()]
+            ids = [x + last for x in encoder.batch(b.column("text").to_pylist())]
             count += np.bincount(np.frombuffer(b"".join(ids), encoder.kind), minlength=encoder.size)
             n = pa.array([len(x) // encoder.kind.itemsize for x in ids], pa.int64())
             yield pa.record_batch([b.column("row_id"), pa.array(ids, pa.binary()), n, pa.nulls(len(ids), schema.types[3]), pa.nulls(len(ids), schema.types[4])], schema=schema)
