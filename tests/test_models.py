@@ -47,13 +47,13 @@ def test_scaling(spark):
 def test_models_learn(spark, tmp_path):
     rows = [(i, -i, int(i % 3 == 0), float(i % 3 == 0) + (i % 7) * 0.05, float(i % 5)) for i in range(90)]
     df = save(spark.createDataFrame(rows, "u int, v int, label int, x double, y double"))
-    for model in (M.zoo(["x", "y"])["logistic_regression"], M.TwoLayerNet(["x", "y"], epochs=60)):
+    for model in (M.zoo(["x", "y"])["logistic_regression"], M.two_layer_net(["x", "y"], maxIter=60)):
         out = model.fit(df).transform(df).select("label", F.col("probability").alias("score"))
         assert V.roc_auc(out).first()[0] > 0.95
     lr = M.zoo(["x", "y"])["logistic_regression"].fit(df)
-    assert lr.importances()[0][0] == "x"
-    lr.save(str(tmp_path / "m"))
-    again = M.load(spark, str(tmp_path / "m")).transform(df).orderBy("u").collect()
+    assert M.importances(lr)[0][0] == "x"
+    M.save_bundle({"lr": lr}, str(tmp_path / "m"))
+    again = M.load_bundle(spark, str(tmp_path / "m"))[0]["lr"].transform(df).orderBy("u").collect()
     assert [r["probability"] for r in again] == [r["probability"] for r in lr.transform(df).orderBy("u").collect()]
     h = M.HeuristicScore("x").fit(df)
     assert h.transform(df.drop("x")).agg(F.max("probability")).first()[0] == 0.0
@@ -84,7 +84,7 @@ def test_leaderboard_takes_all_models_and_features(spark, graph, monkeypatch):
     taken = {}
 
     def score_all(models, train, test):
-        taken.update(models=set(models), columns=models["random_forest"].columns if "random_forest" in models else [], train=train)
+        taken.update(models=set(models), columns=M.columns_of(models["random_forest"]) if "random_forest" in models else [], train=train)
         return test.select(F.lit("m").alias("model"), "u", "v", "label", F.lit(0.5).alias("score"))
 
     monkeypatch.setattr(queries, "suppliers", lambda spark, sf_dir: src.karate(spark))

@@ -42,6 +42,39 @@ def walks(edges: DataFrame, save: Save, per_node: int = 8, length: int = 15, see
     return out
 
 
+def rejection_walks(edges: DataFrame, save: Save, per_node: int = 8, length: int = 15, seed: int = 42, p: float = 1.0, q: float = 1.0, trials: int = 8) -> DataFrame:
+    """(start, walk, step, node): second-order walks without a table of transitions.
+
+    A step tries neighbours, equally likely, by MD5, and takes one with its weight (1/p back, 1 to a common
+    neighbour of both last nodes, 1/q else) over the largest weight; the first one taken is the step. `trials` at a
+    time are looked at for the walks that still wait, so rows follow the walks, not the squares of degrees.
+    """
+    ranked = G.adjacency(edges).withColumn("i", F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1)
+    deg = G.degree(edges)
+    indexed = save(ranked.join(deg.toDF("src", "d"), "src").select("src", "dst", "i", "d"))
+    near = indexed.select(F.col("src").alias("last"), F.col("dst").alias("next"), F.lit(True).alias("near"))
+    at = G.nodes(edges).select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per_node - 1).cast("bigint"))).alias("walk"))
+    now = save(at.select("start", "walk", F.lit(0).alias("step"), F.col("start").alias("node"), F.lit(None).cast("bigint").alias("last")))
+    out, top = now.select("start", "walk", "step", "node"), max(1.0, 1.0 / p, 1.0 / q)
+    for step in range(1, length):
+        waiting, moved, first = now.join(deg.toDF("node", "d"), "node"), None, 0
+        while True:
+            tried = waiting.withColumn("trial", F.explode(F.sequence(F.lit(first), F.lit(first + trials - 1))))
+            tried = tried.withColumn("i", hashing.index(F.col("d"), seed, "pick", "start", "walk", F.lit(step), "trial"))
+            found = tried.join(indexed.select(F.col("src").alias("node"), "i", F.col("dst").alias("next")), ["node", "i"]).join(near, ["last", "next"], "left")
+            weight = F.when(F.col("last").isNull(), top).when(F.col("next") == F.col("last"), 1.0 / p).when(F.col("near"), 1.0).otherwise(1.0 / q)
+            taken = found.where(hashing.uniform(seed, "take", "start", "walk", F.lit(step), "trial") * top < weight)
+            least = save(taken.groupBy("start", "walk").agg(F.min(F.struct("trial", "next", "node")).alias("m")))
+            new = least.select("start", "walk", F.lit(step).alias("step"), F.col("m.next").alias("node"), F.col("m.node").alias("last"))
+            moved = new if moved is None else moved.unionByName(new)
+            waiting, first = save(waiting.join(least.select("start", "walk"), ["start", "walk"], "left_anti")), first + trials
+            if waiting.isEmpty():
+                break
+        now = save(moved)
+        out = out.unionByName(now.select("start", "walk", "step", "node"))
+    return out
+
+
 def transition_probs(edges: DataFrame, p: float = 1.0, q: float = 1.0) -> DataFrame:
     """(prev, curr, next, prob, upto): second-order probabilities, and their running sum in order of next."""
     adj = G.adjacency(edges)

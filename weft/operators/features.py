@@ -45,9 +45,12 @@ def _measures(d_u: Column, d_v: Column, cn: Column, aa: Column, ra: Column) -> d
     }
 
 
-def local_features(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def local_features(edges: DataFrame, pairs: DataFrame, exclude_self_edge: bool = False) -> DataFrame:
     """pairs(u, v, ...) with the local features; nodes that aren't in the graph count as of degree 0.
 
+    exclude_self_edge: a pair that is an edge gets the features it would have without that edge, as test pairs do;
+    only the degrees of its ends change by it.
+
     Only the requested pairs' wedges are expanded: pairs join the adjacency of u, and that of v on the same
     middle node, which brings its degree along. If u and v are linked, each counts among the other's neighbours.
     """
@@ -59,7 +62,12 @@ def local_features(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     shared = wedges.groupBy("u", "v").agg(F.count("*").alias("_cn"), F.sum(log_share).alias("_aa"), F.sum(F.lit(1.0) / F.col("d")).alias("_ra"))
     full = pairs.join(shared, ["u", "v"], "left").join(deg.toDF("u", "_du"), "u", "left").join(deg.toDF("v", "_dv"), "v", "left")
     zero = F.lit(0).cast("bigint")
-    measured = _measures(F.coalesce("_du", zero), F.coalesce("_dv", zero), F.coalesce("_cn", zero), F.coalesce("_aa", F.lit(0.0)), F.coalesce("_ra", F.lit(0.0)))
+    own = zero
+    if exclude_self_edge:
+        linked = edges.select(F.col("u").alias("_a"), F.col("v").alias("_b"), F.lit(1).cast("bigint").alias("_own"))
+        full = full.join(linked, (F.least("u", "v") == F.col("_a")) & (F.greatest("u", "v") == F.col("_b")), "left")
+        own = F.coalesce("_own", zero)
+    measured = _measures(F.coalesce("_du", zero) - own, F.coalesce("_dv", zero) - own, F.coalesce("_cn", zero), F.coalesce("_aa", F.lit(0.0)), F.coalesce("_ra", F.lit(0.0)))
     return full.select(*pairs.columns, *[c.alias(n) for n, c in measured.items()])
 
 
@@ -95,6 +103,6 @@ def node_features(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def pair_features(edges: DataFrame, pairs: DataFrame, stats: DataFrame) -> DataFrame:
+def pair_features(edges: DataFrame, pairs: DataFrame, stats: DataFrame, exclude_self_edge: bool = False) -> DataFrame:
     """All sixteen features of pairs(u, v, ...)."""
-    return node_features(local_features(edges, pairs), stats).select(*pairs.columns, *ALL)
+    return node_features(local_features(edges, pairs, exclude_self_edge), stats).select(*pairs.columns, *ALL)

@@ -1,28 +1,26 @@
-"""Feature preparation and binary classifiers over pair features."""
+"""Feature preparation, the eleven classifiers over pair features, and bundles of them on disk.
 
-from __future__ import annotations
+Every classifier is a pyspark.ml Pipeline: fit it on a table with feature columns and a label, and transform adds
+`probability`. Spark's own writers save what was fitted.
+"""
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.boosting import BoostedTrees
+from weft.operators.learners import BOTH, CLASS, RAW, VECTOR, ColumnScaler, HasColumns, HeuristicScore, ToProbability, ToVector, finite
+from weft.operators.networks import Network
+
 HEURISTICS = ("common_neighbors", "jaccard_coefficient", "adamic_adar", "resource_allocation", "preferential_attachment")
 
 
 def clean_nonfinite(df: DataFrame, columns: list[str]) -> DataFrame:
     """Infinities, NaN and nulls become 0."""
-    for c in columns:
-        x = F.col(c).cast("double")
-        df = df.withColumn(c, F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
-    return df
+    return df.withColumns({c: finite(F.col(c)) for c in columns})
 
 
 def fit_scale(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -40,145 +38,90 @@ def align(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("*", *[F.lit(0.0).alias(c) for c in columns if c not in df.columns])
 
 
-@dataclass
-class HeuristicScore:
-    """A feature scaled to [0, 1] by its range in training."""
-
-    feature: str
-    low: float = 0.0
-    high: float = 1.0
-
-    def fit(self, train: DataFrame) -> HeuristicScore:
-        if self.feature in train.columns:
-            r = train.agg(F.min(self.feature).alias("a"), F.max(self.feature).alias("b")).first()
-            self.low = float(r["a"] or 0.0)
-            self.high = float(r["b"] if r["b"] is not None and r["b"] != r["a"] else self.low + 1)
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        if self.feature not in df.columns:
-            return df.withColumn("probability", F.lit(0.0))
-        x = (F.col(self.feature) - self.low) / (self.high - self.low + 1e-9)
-        return df.withColumn("probability", F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
-
-
-class Learned:
-    """An MLlib classifier with scaling: fit and transform on feature tables, probability of class 1."""
-
-    def __init__(self, estimator, columns: list[str]) -> None:  # noqa: ANN001
-        self.estimator, self.columns = estimator, columns
-        self.scale: dict[str, tuple[float, float]] = {}
-        self.model = None
-
-    def _vector(self, df: DataFrame) -> DataFrame:
-        # The row goes along as it came; only the model sees scaled values.
-        kept = clean_nonfinite(align(df.withColumn("_row", F.struct(*df.columns)), self.columns), self.columns)
-        ready = standard_scale(kept, self.scale).select(*[F.col(c).alias(f"_f{k}") for k, c in enumerate(self.columns)], "_row")
-        return VectorAssembler(inputCols=[f"_f{k}" for k in range(len(self.columns))], outputCol="features").transform(ready)
-
-    def fit(self, train: DataFrame) -> Learned:
-        self.scale = fit_scale(clean_nonfinite(align(train, self.columns), self.columns), self.columns)
-        self.model = self.estimator.fit(self._vector(train).select("features", F.col("_row.label").cast("double").alias("label")))
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(self._vector(df)).select("_row", vector_to_array("probability")[1].alias("p"))
-        return out.select("_row.*", F.col("p").alias("probability"))
-
-    def importances(self) -> list[tuple[str, float]]:
-        """Features by importance of trees or size of coefficients; none for other models."""
-        values = getattr(self.model, "featureImportances", None)
-        if values is None:
-            values = getattr(self.model, "coefficients", None)
-        if values is None:
-            return []
-        return sorted(zip(self.columns, (abs(float(x)) for x in values.toArray())), key=lambda x: (-x[1], x[0]))
-
-    def save(self, path: str) -> None:
-        """The model and its scaling, below one folder."""
-        spark = SparkSession.getActiveSession()
-        PipelineModel([self.model]).write().overwrite().save(f"{path}/model")
-        spark.createDataFrame([(k, c, *self.scale[c]) for k, c in enumerate(self.columns)], "k int, column string, mean double, deviation double").write.mode("overwrite").parquet(f"{path}/scale")
-
-
-def load(spark: SparkSession, path: str) -> Learned:
-    rows = sorted(spark.read.parquet(f"{path}/scale").collect(), key=lambda r: r["k"])
-    out = Learned(None, [r["column"] for r in rows])
-    out.scale = {r["column"]: (r["mean"], r["deviation"]) for r in rows}
-    out.model = PipelineModel.load(f"{path}/model").stages[0]
-    return out
+# ---- the eleven --------------------------------------------------------------------------------------------
 
 
-class TwoLayerNet:
-    """ReLU, tanh and a sigmoid output, trained by mini-batches of at most `most_rows` training rows in one process.
+class RidgeLogistic(Pipeline):
+    """Logistic regression whose L2 penalty follows the rows, as with strength C over a summed loss: 1 / (C n).
 
-    It uses no graph. Scoring is a pandas UDF on all rows.
+    The rows are counted when it is fitted; MLlib's penalty is over the mean loss.
     """
 
-    def __init__(self, columns: list[str], hidden: int = 32, out: int = 16, rate: float = 0.03, epochs: int = 50, batch: int = 128, most_rows: int = 200_000, seed: int = 42) -> None:
-        self.columns, self.sizes, self.rate, self.epochs, self.batch, self.most_rows, self.seed = columns, (hidden, out), rate, epochs, batch, most_rows, seed
-
-    def _ready(self, df: DataFrame) -> DataFrame:
-        return standard_scale(clean_nonfinite(align(df, self.columns), self.columns), self.scale)
-
-    def fit(self, train: DataFrame) -> TwoLayerNet:
-        self.scale = fit_scale(clean_nonfinite(align(train, self.columns), self.columns), self.columns)
-        rows = self._ready(train).select(*self.columns, "label")
-        key = F.xxhash64(*self.columns, "label")
-        pdf = rows.orderBy(key).limit(self.most_rows).toPandas()
-        x, y = pdf[self.columns].to_numpy(float), pdf["label"].to_numpy(float)[:, None]
-        rng = np.random.default_rng(self.seed)
-        glorot = lambda a, b: rng.uniform(-1, 1, (a, b)) * np.sqrt(6.0 / (a + b))
-        w1, w2, w3, b = glorot(x.shape[1], self.sizes[0]), glorot(*self.sizes), glorot(self.sizes[1], 1), 0.0
-        for _ in range(self.epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), self.batch):
-                rows_ = order[at : at + self.batch]
-                a, t = x[rows_], y[rows_]
-                h = np.maximum(a @ w1, 0)
-                z = np.tanh(h @ w2)
-                error = (1 / (1 + np.exp(-np.clip(z @ w3 + b, -15, 15))) - t) / len(rows_)
-                back = (error @ w3.T) * (1 - z**2)
-                g1 = a.T @ ((back @ w2.T) * (h > 0))
-                w3 -= self.rate * z.T @ error
-                b -= self.rate * error.sum()
-                w2 -= self.rate * h.T @ back
-                w1 -= self.rate * g1
-        self.weights = (w1, w2, w3, b)
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        w1, w2, w3, b = self.weights
-
-        @F.pandas_udf("double")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for rows in batches:
-                x = np.stack(rows.to_numpy()) if len(rows) else np.zeros((0, len(w1)))
-                yield pd.Series((1 / (1 + np.exp(-np.clip(np.tanh(np.maximum(x @ w1, 0) @ w2) @ w3 + b, -15, 15))))[:, 0])
-
-        kept = df.select(F.struct(*df.columns).alias("_row"), *df.columns)
-        return self._ready(kept).select("_row", score(F.array(*self.columns)).alias("p")).select("_row.*", F.col("p").alias("probability"))
-
-
-def zoo(columns: list[str]) -> dict[str, HeuristicScore | Learned | TwoLayerNet]:
-    """The eleven models, unfitted. The boosted trees are MLlib's; names say what a model is."""
-    learned = {
-        "logistic_regression": LogisticRegression(elasticNetParam=0.0, standardization=False, maxIter=1000, regParam=1e-3),
-        "random_forest": RandomForestClassifier(numTrees=100, maxDepth=12, seed=42),
-        "boosted_trees": GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.08, seed=42),
-        "boosted_trees_subsampled": GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.08, subsamplingRate=0.8, maxBins=255, seed=42),
-        "perceptron": MultilayerPerceptronClassifier(layers=[len(columns), 64, 32, 2], maxIter=200, seed=42),
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        n = max(df.where(F.col("label").isNotNull()).count(), 1)
+        *first, lr, last = self.getStages()
+        return Pipeline(stages=[*first, lr.copy({lr.regParam: 1.0 / n}), last]).fit(df)
+
+
+def _mllib(columns: list[str], estimator, kind: type[Pipeline] = Pipeline) -> Pipeline:  # noqa: ANN001
+    named = estimator.setFeaturesCol(VECTOR).setProbabilityCol(BOTH).setRawPredictionCol(RAW).setPredictionCol(CLASS)
+    return kind(stages=[ColumnScaler(columns), ToVector(), named, ToProbability()])
+
+
+def two_layer_net(columns: list[str], **params: object) -> Pipeline:
+    """32 ReLU and 16 tanh units, plain gradient descent for 50 epochs of eight steps; no graph takes part in it."""
+    given = {"hidden": [32, 16], "kinds": ["relu", "tanh"], "optimiser": "sgd", "stepSize": 0.03, "l2": 0.0, "maxIter": 50, "stepsPerEpoch": 8, "heldOut": 0.0}
+    return Pipeline(stages=[ColumnScaler(columns), Network(columns, **given | params)])
+
+
+def zoo(columns: list[str]) -> dict[str, Pipeline]:
+    """The eleven models, unfitted."""
+    return {f"heuristic_{h}": Pipeline(stages=[HeuristicScore(h)]) for h in HEURISTICS} | {
+        "logistic_regression": _mllib(columns, LogisticRegression(elasticNetParam=0.0, standardization=False, maxIter=1000), RidgeLogistic),
+        "random_forest": _mllib(columns, RandomForestClassifier(numTrees=100, maxDepth=12, seed=42)),
+        "boosted_trees": Pipeline(stages=[BoostedTrees(columns, maxIter=100, maxDepth=6, stepSize=0.08, regLambda=1.0, minHessian=1.0)]),
+        "boosted_trees_leafwise": Pipeline(stages=[BoostedTrees(columns, maxIter=100, maxDepth=6, maxLeaves=31, stepSize=0.08, regLambda=0.0, minHessian=1e-3, minRows=20)]),
+        "perceptron": Pipeline(stages=[ColumnScaler(columns), Network(columns)]),
+        "two_layer_net": two_layer_net(columns),
     }
-    return {f"heuristic_{h}": HeuristicScore(h) for h in HEURISTICS} | {n: Learned(e, columns) for n, e in learned.items()} | {"two_layer_net": TwoLayerNet(columns)}
 
 
-def score_all(models: dict, train: DataFrame, test: DataFrame) -> DataFrame:
-    """Fit every model on train and score test: (model, u, v, label, score)."""
+def columns_of(pipeline: Pipeline | PipelineModel) -> list[str]:
+    """The features that a model, fitted or not, takes."""
+    stages = pipeline.stages if isinstance(pipeline, PipelineModel) else pipeline.getStages()
+    return next(list(s.getOrDefault(s.columns)) for s in stages if isinstance(s, HasColumns))
+
+
+def importances(model: PipelineModel) -> list[tuple[str, float]]:
+    """Features by importance of trees or size of coefficients; none for other models."""
+    for s in model.stages:
+        if hasattr(s, "importances"):
+            return s.importances()
+        for name in ("featureImportances", "coefficients"):
+            if hasattr(s, name):
+                return sorted(zip(columns_of(model), (abs(float(x)) for x in getattr(s, name).toArray())), key=lambda x: (-x[1], x[0]))
+    return []
+
+
+def score_all(models: dict[str, Pipeline | PipelineModel], train: DataFrame, test: DataFrame) -> DataFrame:
+    """Test pairs scored by every model: (model, u, v, label, score). Models that aren't fitted are, on train."""
     out = None
     for name, model in models.items():
-        part = model.fit(train).transform(test).select(F.lit(name).alias("model"), "u", "v", "label", F.col("probability").alias("score"))
+        fitted = model if isinstance(model, PipelineModel) else model.fit(train)
+        part = fitted.transform(test).select(F.lit(name).alias("model"), "u", "v", "label", F.col("probability").alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-__all__ = ["HeuristicScore", "Learned", "TwoLayerNet", "align", "array_to_vector", "clean_nonfinite", "fit_scale", "load", "score_all", "standard_scale", "zoo"]
+# ---- bundles -----------------------------------------------------------------------------------------------
+
+
+def save_bundle(models: dict[str, PipelineModel], folder: str, tables: dict[str, DataFrame] | None = None) -> None:
+    """Fitted models, and tables that belong to them (a training graph, node statistics, embeddings), below a folder.
+
+    The list of contents is written last: a folder without it isn't a bundle. An earlier bundle is replaced.
+    """
+    spark = SparkSession.getActiveSession()
+    for name, model in models.items():
+        model.write().overwrite().save(f"{folder}/models/{name}")
+    for name, df in (tables or {}).items():
+        df.write.mode("overwrite").parquet(f"{folder}/tables/{name}")
+    contents = [(k, "model", n) for k, n in enumerate(models)] + [(k, "table", n) for k, n in enumerate(tables or {})]
+    spark.createDataFrame(contents, "place int, kind string, name string").coalesce(1).write.mode("overwrite").json(f"{folder}/contents")
+
+
+def load_bundle(spark: SparkSession, folder: str) -> tuple[dict[str, PipelineModel], dict[str, DataFrame]]:
+    """(models, tables) as they were saved, in the same order."""
+    rows = sorted(spark.read.schema("place int, kind string, name string").json(f"{folder}/contents").collect())
+    models = {r["name"]: PipelineModel.load(f"{folder}/models/{r['name']}") for r in rows if r["kind"] == "model"}
+    return models, {r["name"]: spark.read.parquet(f"{folder}/tables/{r['name']}") for r in rows if r["kind"] == "table"}

@@ -15,6 +15,7 @@ from weft.operators import models as M
 from weft.operators import serve as R
 from weft.operators import split as S
 from weft.operators.components import connected_components
+from weft.operators.pairs import PairFeatures
 from weft.plans.catalog import register
 from weft.sources import edges as src
 from weft.sources.scratch import materialize
@@ -788,10 +789,7 @@ def all_features(edges: DataFrame) -> DataFrame:
     """(u, v, label, split) with the sixteen features and the twelve of embeddings, all of the training graph."""
     pairs = save(S.labeled_pairs(edges, save))
     known = save(pairs.where("split = 'train' and label = 1").select("u", "v"))
-    # Greedy modularity, as in the reference, refuses graphs above 200,000 edges.
-    groups = (A.greedy_communities(known) if known.count() <= 200_000 else A.label_propagation(known, save)).select("id", "community")
-    stats = save(A.pagerank(known, save).join(A.closeness(known, save), "id").join(groups, "id", "left"))
-    return E.edge_embedding_features(X.pair_features(known, pairs, stats), save(E.node_embeddings(known, save)), 16)
+    return PairFeatures.fit(known, save).transform(pairs)
 
 
 def _parts_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -806,7 +804,7 @@ def _model(name: str, key: str) -> None:
         return M.zoo(COLUMNS)[name].fit(train).transform(test).select("u", "v", "label", "probability")
 
 
-for _name, _key in (("logistic_regression", "model_lr"), ("random_forest", "model_rf"), ("boosted_trees", "model_gbt_a"), ("boosted_trees_subsampled", "model_gbt_b"), ("perceptron", "model_mlp"), ("two_layer_net", "model_two_layer")):
+for _name, _key in (("logistic_regression", "model_lr"), ("random_forest", "model_rf"), ("boosted_trees", "model_gbt_a"), ("boosted_trees_leafwise", "model_gbt_b"), ("perceptron", "model_mlp"), ("two_layer_net", "model_two_layer")):
     _model(_name, _key)
 
 
@@ -818,22 +816,28 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the forest, the boosted trees and the logistic regression, on the full feature set."""
+    """Of the forest, both kinds of boosted trees and the logistic regression, on the full feature set."""
     train, _ = _parts_of(spark, sf_dir)
     rows = []
-    for name in ("random_forest", "boosted_trees", "logistic_regression"):
-        rows += [(name, *x) for x in M.zoo(COLUMNS)[name].fit(train).importances()]
+    for name in ("random_forest", "boosted_trees", "boosted_trees_leafwise", "logistic_regression"):
+        rows += [(name, *x) for x in M.importances(M.zoo(COLUMNS)[name].fit(train))]
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
 @register("save_load_roundtrip")
 def save_load_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test pairs scored by a bundle that was saved and loaded: heuristics, logistic regression, forest and their features."""
     from weft.sources.scratch import scratch
 
-    train, test = _parts_of(spark, sf_dir)
-    path = scratch(spark, "model")
-    M.zoo(COLUMNS)["logistic_regression"].fit(train).save(path)
-    return M.load(spark, path).transform(test).select("u", "v", "label", "probability")
+    pairs = save(S.labeled_pairs(save(suppliers(spark, sf_dir)), save))
+    known = save(pairs.where("split = 'train' and label = 1").select("u", "v"))
+    made = PairFeatures.fit(known, save)
+    train = save(made.transform(pairs.where("split = 'train'")))
+    kept = {n: m.fit(train) for n, m in M.zoo(COLUMNS).items() if n.startswith("heuristic") or n in ("logistic_regression", "random_forest")}
+    folder = scratch(spark, "bundle")
+    M.save_bundle(kept, folder, made.tables())
+    models, tables = M.load_bundle(spark, folder)
+    return M.score_all(models, train, save(PairFeatures(**tables).transform(pairs.where("split = 'test'"))))
 
 
 # ---- serving -----------------------------------------------------------------------------------------------
