@@ -95,3 +95,53 @@ def test_rejection_walks_follow_the_transition_probabilities(spark, graph):
         expected = r["prob"] * n
         assert abs(got.get((r["prev"], r["curr"], r["next"]), 0) - expected) < 4 * (expected * (1 - r["prob"]) + 1) ** 0.5 + 1
     assert steps.join(steps.select("start", "walk", (F.col("step") - 1).alias("step"), F.col("node").alias("b")), ["start", "walk", "step"]).join(G.adjacency(edges).toDF("node", "b"), ["node", "b"], "left_anti").count() == 0
+
+
+def matrix_of(entries, n):
+    import numpy as np
+
+    m = np.zeros((n, n))
+    for r in entries.collect():
+        m[r["a"], r["b"]] += r["value"]
+    return m
+
+
+def test_block_iteration_finds_singular_vectors(spark):
+    import numpy as np
+
+    from weft.operators import blocks as B
+
+    rng = random.Random(5)
+    rows = {(rng.randrange(40), rng.randrange(40)): rng.random() for _ in range(300)}
+    entries = save(spark.createDataFrame([(a, b, v) for (a, b), v in rows.items()], "a bigint, b bigint, value double").repartition(12))
+    m = matrix_of(entries, 40)
+    found, values = B.singular(entries, 5, save, rounds=30, tolerance=1e-5)
+    u = np.zeros((40, 5))
+    for r in found.collect():
+        u[r["id"]] = r["y"]
+    want = np.linalg.svd(m)[1][:5]
+    assert values == pytest.approx(want, rel=1e-3)
+    assert np.abs(u.T @ u - np.eye(5)).max() < 1e-8
+    assert np.linalg.norm(m @ m.T @ u - u * values**2, axis=0).max() < 0.02 * want[0] ** 2
+    low_rank = save(spark.createDataFrame([(a, b, float((a + 1) * (b + 2))) for a in range(9) for b in range(9)], "a bigint, b bigint, value double"))
+    found, values = B.singular(low_rank, 4, save)
+    assert len(values) == 1 and len(found.first()["y"]) == 1
+
+
+def test_spectral_residuals(spark):
+    import numpy as np
+
+    from weft.operators import blocks as B
+
+    k = save(src.karate(spark))
+    for low in (True, False):
+        entries = save(E.laplacian(k, low))
+        m = matrix_of(entries, 34)
+        found, values, residual = B.leading_eigen(entries, 5, 2.0, save)
+        assert values == pytest.approx(np.sort(np.linalg.eigvalsh(m))[::-1][:5], abs=1e-4) and residual < 2e-4
+        y = np.zeros((34, 5))
+        for r in found.collect():
+            y[r["id"]] = r["y"]
+        assert np.linalg.norm(m @ y - y * values, axis=0).max() < 1e-3
+    z = E.spectral_embed(k, save, dim=4)
+    assert z.count() == 34 and z.where(F.abs(F.aggregate("z", F.lit(0.0), lambda s, x: s + x * x) - 1) > 1e-9).count() == 0

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions import hashing, vectors
+from weft.operators import blocks
 from weft.operators import graph as G
 
 Save = Callable[[DataFrame], DataFrame]
@@ -109,27 +111,16 @@ def ppmi(counts: DataFrame, as_coded: bool = False) -> DataFrame:
     return full.select("a", "b", F.log(F.greatest(share, F.lit(1e-9))).alias("ppmi")).where("ppmi > 0")
 
 
-def svd_embed(entries: DataFrame, dim: int = 16, scale: bool = True, drop: int = 0) -> DataFrame:
-    """(id, z): rows of U * sqrt(S) of the sparse matrix entries(a, b, value), of unit length.
+def svd_embed(entries: DataFrame, save: Save, dim: int = 16) -> DataFrame:
+    """(id, z): rows of U * sqrt(S) of the sparse matrix entries(a, b, value), of unit length; singular values descend."""
+    found, values = blocks.singular(entries, dim, save)
+    return unit(blocks.times(found, np.diag(np.sqrt(values))))
 
-    Singular values descend; the first `drop` columns are left out. A vector is as long as the matrix has nodes,
-    so nodes have to fit one machine's array; rows are distributed.
-    """
-    from pyspark.mllib.linalg import SparseVector
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    ids = entries.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    index = G.dense_rank_of(ids, "id").persist()
-    n = index.count()
-    k = min(dim + drop, n - 2 if n > 3 else 1)
-    rows = entries.join(index.toDF("a", "i"), "a").join(index.toDF("b", "j"), "b").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("r"))
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["i"], SparseVector(n, [int(x["j"]) for x in r["r"]], [float(x["value"]) for x in r["r"]]))), n, n)
-    svd = matrix.computeSVD(k, computeU=True)
-    weights = [float(x) ** 0.5 if scale else 1.0 for x in svd.s][drop:]
-    out = svd.U.rows.map(lambda r: (int(r.index), [float(x) * w for x, w in zip(r.vector.toArray()[drop:], weights)])).toDF("rank bigint, z array<double>")
-    length = vectors.norm(F.col("z"))
-    unit = F.transform("z", lambda x: x / F.when(length > 0, length).otherwise(1.0))
-    return out.join(index, "rank").select("id", unit.alias("z"))
+
+def unit(block: DataFrame) -> DataFrame:
+    """Rows (id, y) as z of length 1; zeros stay."""
+    length = vectors.norm(F.col("y"))
+    return block.select("id", F.transform("y", lambda x: x / F.when(length > 0, length).otherwise(1.0)).alias("z"))
 
 
 def node_embeddings(edges: DataFrame, save: Save, dim: int = 16, per_node: int = 8, length: int = 15, seed: int = 42) -> DataFrame:
@@ -137,16 +128,22 @@ def node_embeddings(edges: DataFrame, save: Save, dim: int = 16, per_node: int =
     found = save(ppmi(save(cooccurrence(walks(edges, save, per_node, length, seed)))))
     if found.isEmpty():
         found = G.adjacency(edges).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("ppmi"))
-    return svd_embed(found.withColumnRenamed("ppmi", "value"), dim)
+    return svd_embed(found.withColumnRenamed("ppmi", "value"), save, dim)
+
+
+def spectral_embed(edges: DataFrame, save: Save, dim: int = 16, low: bool = True) -> DataFrame:
+    """(id, z): eigenvectors of the normalised Laplacian, rows of unit length. low: of its least eigenvalues but the first
+    (those of the largest of I + D^-1/2 A D^-1/2); else of its largest but the first."""
+    found, values, _ = blocks.leading_eigen(save(laplacian(edges, low)), dim + 1, 2.0, save)
+    return unit(blocks.times(found, np.eye(len(values))[:, 1:]))
 
 
-def spectral_embed(edges: DataFrame, dim: int = 16, low: bool = True) -> DataFrame:
-    """Eigenvectors of the normalised Laplacian. low: of its least eigenvalues but the first (those of the largest of
-    I + D^-1/2 A D^-1/2); else of its largest but the first."""
+def laplacian(edges: DataFrame, low: bool = True) -> DataFrame:
+    """(a, b, value) of I + D^-1/2 A D^-1/2, or with low false of I - D^-1/2 A D^-1/2."""
     deg = G.degree(edges)
     adj = G.adjacency(edges).join(deg.toDF("src", "ds"), "src").join(deg.toDF("dst", "dd"), "dst")
     off = adj.select(F.col("src").alias("a"), F.col("dst").alias("b"), ((1.0 if low else -1.0) / F.sqrt((F.col("ds") * F.col("dd")).cast("double"))).alias("value"))
-    return svd_embed(off.unionByName(deg.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("value"))), dim, scale=False, drop=1)
+    return off.unionByName(deg.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("value")))
 
 
 EMBEDDING = ("emb_cosine_sim", "emb_l1_dist", "emb_l2_dist", "emb_dot_product")

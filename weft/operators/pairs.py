@@ -23,8 +23,8 @@ class PairFeatures:
 
     @classmethod
     def fit(cls, known: DataFrame, save: Callable[[DataFrame], DataFrame], dim: int = 16) -> PairFeatures:
-        """Communities are modularity's at any number of edges."""
-        stats = A.pagerank(known, save).join(A.closeness(known, save), "id").join(louvain(known, save), "id", "left")
+        """Communities are modularity's at any number of edges, from rounds that end early: a feature, not a partition to keep."""
+        stats = A.pagerank(known, save).join(A.closeness(known, save), "id").join(louvain(known, save, patience=1, least=1e-3), "id", "left")
         return cls(known, save(stats), save(E.node_embeddings(known, save, dim)))
 
     def transform(self, pairs: DataFrame, exclude_self_edge: bool = False) -> DataFrame:

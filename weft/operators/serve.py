@@ -29,22 +29,26 @@ def candidates_2hop(edges: DataFrame, users: DataFrame | None = None, cap: int |
 
 
 def fill(edges: DataFrame, users: DataFrame, most: int = 150, seed: int = 42) -> DataFrame:
-    """(user, candidate, place): up to `most` nodes drawn by MD5 for each of users(id) that aren't its neighbours.
+    """(user, candidate, place): up to `most` nodes chosen by MD5 for each of users(id) that aren't its neighbours.
 
-    Draw j takes one of all nodes in order of their ids; a node counts where it comes up first. Four draws are made
-    for each place, so the rows follow the users, not the square of the nodes.
+    Users with at most 4 * most such nodes get of all of them those of least MD5. For others, draw j takes one of all
+    nodes in order of their ids, and a node counts where it comes up first; four draws are made for each place, more
+    by the share of nodes that are neighbours. Rows follow the users and their degrees, not the square of the nodes.
     """
-    adj = G.adjacency(edges)
+    adj, deg = G.adjacency(edges), G.degree(edges)
     ids = G.dense_rank_of(G.nodes(edges), "id")
     total = ids.agg(F.count("*").alias("n"))
-    known = users.select("id").distinct().join(G.nodes(edges), "id", "left_semi")
-    draws = known.select(F.col("id").alias("user"), F.explode(F.sequence(F.lit(0), F.lit(4 * most - 1))).alias("j"))
-    draws = draws.crossJoin(F.broadcast(total))  # one row
-    draws = draws.select("user", "j", hashing.index(F.col("n"), seed, "fill", "user", "j").alias("rank"))
-    drawn = draws.groupBy("user", "rank").agg(F.min("j").alias("j")).join(ids, "rank")
-    drawn = drawn.select("user", F.col("id").alias("candidate"), "j").where("user <> candidate")
+    known = users.select("id").distinct().join(deg, "id").crossJoin(F.broadcast(total))  # one row
+    known = known.select(F.col("id").alias("user"), "n", (F.col("n") - 1 - F.col("d")).alias("rest"))
+    few = F.col("rest") <= 4 * most
+    last = F.when(few, F.col("n") - 1).otherwise(4 * most * F.ceil(F.col("n") / F.greatest("rest", F.lit(1))) - 1)
+    draws = known.where("rest > 0").select("user", "n", few.alias("few"), F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("j"))
+    draws = draws.select("user", "few", "j", F.when(F.col("few"), F.col("j")).otherwise(hashing.index(F.col("n"), seed, "fill", "user", "j")).alias("rank"))
+    drawn = draws.groupBy("user", "few", "rank").agg(F.min("j").alias("j")).join(ids, "rank")
+    drawn = drawn.select("user", "few", F.col("id").alias("candidate"), "j").where("user <> candidate")
     drawn = drawn.join(adj.toDF("user", "candidate"), ["user", "candidate"], "left_anti")
-    place = F.row_number().over(W.partitionBy("user").orderBy("j"))
+    by_key = F.when(F.col("few"), hashing.key(seed, "fill", "user", "candidate"))
+    place = F.row_number().over(W.partitionBy("user").orderBy(by_key, "j"))
     return drawn.select("user", "candidate", place.cast("bigint").alias("place")).where(F.col("place") <= most)
 
 

@@ -14,9 +14,11 @@ from weft.operators import graph as G
 from weft.operators import models as M
 from weft.operators import serve as R
 from weft.operators import split as S
+from weft.operators.communities import louvain
 from weft.operators.components import connected_components
+from weft.operators.forest import minimum_forest
 from weft.operators.pairs import PairFeatures
-from weft.plans.catalog import register
+from weft.plans.catalog import ORACLES, register
 from weft.sources import edges as src
 from weft.sources.scratch import materialize
 
@@ -231,6 +233,19 @@ def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_of(save(suppliers(spark, sf_dir)))
 
 
+#: Kruskal's algorithm edge by edge on a list of labels.
+_KRUSKAL = """idx AS (SELECT id, row_number() OVER (ORDER BY id) AS x FROM nodes),
+k AS (SELECT e.u, e.v, a.x AS iu, b.x AS iv, row_number() OVER (ORDER BY md5('42|forest|' || e.u || '|' || e.v), e.u, e.v) AS i FROM e JOIN idx a ON a.id = e.u JOIN idx b ON b.id = e.v),
+r(i, labels, took) AS (SELECT CAST(0 AS BIGINT), (SELECT list(x ORDER BY x) FROM idx), false UNION ALL
+  SELECT k.i, CASE WHEN labels[iu] <> labels[iv] THEN list_transform(labels, lambda y: CASE WHEN y = labels[iv] THEN labels[iu] ELSE y END) ELSE labels END, labels[iu] <> labels[iv]
+  FROM r JOIN k ON k.i = r.i + 1)"""
+
+
+@register("minimum_forest", sql(SUPPLIERS, ADJ, NODES, _KRUSKAL, final="SELECT u, v FROM r JOIN k USING (i) WHERE took", recursive=True))
+def minimum_forest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimum_forest(save(suppliers(spark, sf_dir)), save)
+
+
 @register("removable_edges", sql(*SPLIT_CTES, final="SELECT u, v FROM loose", recursive=True))
 def removable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = save(suppliers(spark, sf_dir))
@@ -492,6 +507,31 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.graph_summary(suppliers(spark, sf_dir), save))
 
 
+#: Each part of the summary is a query of its own, here on the suppliers' graph with their nations as communities.
+_NATIONS = "lab AS (SELECT s_suppkey AS id, s_nationkey AS community FROM supplier)"
+_SUMMARY = [f"({ORACLES[n].replace(PARTS, SUPPLIERS).replace(GIVEN, _NATIONS)})" for n in ("counts", "density", "avg_clustering", "transitivity", "path_lengths", "modularity", "num_communities")]
+_SUMMARY.append(f"(SELECT count(DISTINCT component) AS num_components, count(DISTINCT component) = 1 AS is_connected FROM ({ORACLES['connected_components'].replace(PARTS, SUPPLIERS)}))")
+
+
+_SUMMARY.append("(" + sql(SUPPLIERS, ADJ, DEG, final="SELECT round(avg(d), 8) AS avg_degree, max(d) AS max_degree, min(d) AS min_degree FROM deg") + ")")
+
+
+@register("graph_summary_given", "SELECT * FROM " + ", ".join(f"{x} s{k}" for k, x in enumerate(_SUMMARY)))
+def graph_summary_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary with given communities, for which all of it has SQL."""
+    return rounded(A.graph_summary(suppliers(spark, sf_dir), save, lambda _: nations(spark, sf_dir)))
+
+
+@register("louvain_communities")
+def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return louvain(save(suppliers(spark, sf_dir)), save)
+
+
+@register("closeness_sketched")
+def closeness_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.neighbourhood_closeness(save(parts(spark, sf_dir)), save)
+
+
 # ---- pair features -----------------------------------------------------------------------------------------
 
 
@@ -614,6 +654,23 @@ def walk_second_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.walks(save(suppliers(spark, sf_dir)), save, WALKS, WALK_LENGTH, p=0.5, q=2.0)
 
 
+def _rejection_sql(length: int, per_node: int, trials: int = 96) -> str:
+    """The first of `trials` tries that is taken, at p = 0.5 and q = 2; that none is has a chance of 1e-12."""
+    draw = "CAST('0x' || substr(md5('42|{}|' || start || '|' || walk || '|{}|' || t), 1, 8) AS BIGINT)"
+    steps = [f"w0 AS (SELECT id AS start, walk, id AS node, CAST(NULL AS BIGINT) AS last FROM nodes, (SELECT unnest(range({per_node})) AS walk))"]
+    for k in range(1, length):
+        tried = f"SELECT w.*, t, ix.dst AS next, {draw.format('take', k)} / 4294967296.0::DOUBLE * 2.0 AS y FROM w{k - 1} w JOIN deg ON deg.id = node, range({trials}) r(t), ix WHERE ix.src = node AND ix.i = {draw.format('pick', k)} % deg.d"
+        weight = "CASE WHEN last IS NULL OR next = last THEN 2.0 WHEN EXISTS (SELECT 1 FROM adj c WHERE c.src = last AND c.dst = next) THEN 1.0 ELSE 0.5 END"
+        steps.append(f"w{k} AS MATERIALIZED (SELECT start, walk, arg_min(next, t) AS node, any_value(node) AS last FROM ({tried}) WHERE y < {weight} GROUP BY start, walk)")
+    indexed = "ix AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i FROM adj)"
+    return sql(SUPPLIERS, ADJ, DEG, NODES, indexed, *steps, final=" UNION ALL ".join(f"SELECT start, walk, {k} AS step, node FROM w{k}" for k in range(length)))
+
+
+@register("walk_second_order_rejection", _rejection_sql(WALK_LENGTH, WALKS))
+def walk_second_order_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.rejection_walks(save(suppliers(spark, sf_dir)), save, WALKS, WALK_LENGTH, p=0.5, q=2.0)
+
+
 @register("cooccurrence", sql(SUPPLIERS, ADJ, DEG, NODES, WALK, COOC, final="SELECT a, b, n FROM cooc"))
 def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.cooccurrence(short_walks(spark, sf_dir))
@@ -640,7 +697,7 @@ def svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("spectral_embed")
 def spectral_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.spectral_embed(save(suppliers(spark, sf_dir)), dim=8)
+    return E.spectral_embed(save(suppliers(spark, sf_dir)), save, dim=8)
 
 
 def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -814,26 +871,49 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.leaderboard(save(M.score_all(M.zoo(COLUMNS), train, test)))
 
 
+_BOARD = (
+    "h AS (SELECT u, v, label, split, unnest([" + ", ".join(f"{{'m': 'heuristic_{n}', 'x': {x}}}" for n, x in ((n, f"CAST({m[6:-4] if m.startswith('round(') else m} AS DOUBLE)") for n, m in MEASURES.items() if n in M.HEURISTICS)) + "]) AS h FROM b)",
+    "rn AS (SELECT h.m AS model, min(h.x) AS lo, max(h.x) AS hi FROM h WHERE split = 'train' GROUP BY h.m)",
+    "sc AS (SELECT model, u, v, label, round(greatest(least((h.x - lo) / (CASE WHEN hi = lo THEN 1 ELSE hi - lo END + 1e-9), 1), 0), 8) AS score FROM h JOIN rn ON model = h.m WHERE split = 'test')",
+    "hs AS (SELECT model, score, sum(label) AS pos, sum(1 - label) AS neg FROM sc GROUP BY ALL)",
+    "ct AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model) AS p, sum(neg) OVER (PARTITION BY model) AS n FROM hs WINDOW w AS (PARTITION BY model ORDER BY score DESC))",
+    "rk AS (SELECT model, round(1 - sum((fp - neg / 2.0::DOUBLE) * pos) / (max(p) * max(n)), 4) AS roc_auc, round(sum(CAST(pos AS DOUBLE) * tp / (tp + fp)) / max(p), 4) AS pr_auc FROM ct GROUP BY model)",
+    f"cm AS (SELECT model, {CONFUSION.format(y='(score >= 0.5)')} FROM sc GROUP BY model)",
+    f"rt AS (SELECT model, {RATES.replace(', 6)', ', 4)')} FROM cm)",
+    "od AS (SELECT model, label, row_number() OVER (PARTITION BY model ORDER BY score DESC, u, v) AS r, greatest(10, floor(0.1 * count(*) OVER (PARTITION BY model))) AS k, sum(label) OVER (PARTITION BY model) AS p FROM sc)",
+    "ht AS (SELECT model, round(CAST(coalesce(sum(label) FILTER (WHERE r <= k), 0) AS DOUBLE) / max(least(k, p)), 4) AS hits_at_k FROM od GROUP BY model)",
+)
+
+
+@register("leaderboard_heuristics", sql(*SCORE_CTES, *_BOARD, final="SELECT model, roc_auc, pr_auc, f1, precision, recall, accuracy, hits_at_k FROM rk JOIN rt USING (model) JOIN ht USING (model)", recursive=True))
+def leaderboard_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaderboard's metrics of the five heuristics, whose scores SQL can compute."""
+    full = save(split_features(save(suppliers(spark, sf_dir))))
+    models = {n: m for n, m in M.zoo(list(X.LOCAL)).items() if n.startswith("heuristic_")}
+    scored = M.score_all(models, full.where("split = 'train'"), full.where("split = 'test'"))
+    return V.leaderboard(save(scored.withColumn("score", F.round("score", 8))))
+
+
 @register("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the forest, both kinds of boosted trees and the logistic regression, on the full feature set."""
+    """Of the forest, the boosted trees and the logistic regression, on the full feature set."""
     train, _ = _parts_of(spark, sf_dir)
     rows = []
-    for name in ("random_forest", "boosted_trees", "boosted_trees_leafwise", "logistic_regression"):
+    for name in ("random_forest", "boosted_trees", "logistic_regression"):
         rows += [(name, *x) for x in M.importances(M.zoo(COLUMNS)[name].fit(train))]
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
 @register("save_load_roundtrip")
 def save_load_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test pairs scored by a bundle that was saved and loaded: heuristics, logistic regression, forest and their features."""
+    """Test pairs scored by a bundle that was saved and loaded: heuristics, logistic regression and their features."""
     from weft.sources.scratch import scratch
 
     pairs = save(S.labeled_pairs(save(suppliers(spark, sf_dir)), save))
     known = save(pairs.where("split = 'train' and label = 1").select("u", "v"))
     made = PairFeatures.fit(known, save)
     train = save(made.transform(pairs.where("split = 'train'")))
-    kept = {n: m.fit(train) for n, m in M.zoo(COLUMNS).items() if n.startswith("heuristic") or n in ("logistic_regression", "random_forest")}
+    kept = {n: m.fit(train) for n, m in M.zoo(COLUMNS).items() if n.startswith("heuristic") or n == "logistic_regression"}
     folder = scratch(spark, "bundle")
     M.save_bundle(kept, folder, made.tables())
     models, tables = M.load_bundle(spark, folder)
@@ -876,10 +956,14 @@ def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DRAWN = """ranked AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank FROM nodes),
-draws AS (SELECT u.id AS user, min(j) AS j, CAST('0x' || substr(md5('42|fill|' || u.id || '|' || j), 1, 8) AS BIGINT) % (SELECT count(*) FROM nodes) AS rank
-  FROM nodes u, (SELECT unnest(range({draws})) AS j) GROUP BY u.id, rank),
-filled AS (SELECT user, candidate, place FROM (SELECT user, id AS candidate, row_number() OVER (PARTITION BY user ORDER BY j) AS place
-  FROM draws JOIN ranked USING (rank) WHERE draws.user <> id AND NOT EXISTS (SELECT 1 FROM adj WHERE src = draws.user AND dst = id)) WHERE place <= {most})"""
+room AS (SELECT id, n, n - 1 - (SELECT count(*) FROM adj WHERE src = id) AS rest FROM nodes, (SELECT count(*) AS n FROM nodes)),
+draws AS (SELECT user, rank, min(j) AS j FROM (SELECT id AS user, j, CAST('0x' || substr(md5('42|fill|' || id || '|' || j), 1, 8) AS BIGINT) % n AS rank
+  FROM (SELECT *, unnest(range(CAST({draws} * ceil(n / CAST(rest AS DOUBLE)) AS BIGINT))) AS j FROM room WHERE rest > {draws})) GROUP BY user, rank),
+filled AS (SELECT user, candidate, place FROM (
+    SELECT user, id AS candidate, row_number() OVER (PARTITION BY user ORDER BY j) AS place FROM draws JOIN ranked USING (rank)
+    WHERE draws.user <> id AND NOT EXISTS (SELECT 1 FROM adj WHERE src = draws.user AND dst = id)
+    UNION ALL SELECT r.id, n.id, row_number() OVER (PARTITION BY r.id ORDER BY md5('42|fill|' || r.id || '|' || n.id)) FROM room r JOIN nodes n ON n.id <> r.id
+    WHERE rest <= {draws} AND NOT EXISTS (SELECT 1 FROM adj WHERE src = r.id AND dst = n.id)) WHERE place <= {most})"""
 _MERGED = """near AS (SELECT user, candidate, mutual FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY mutual DESC, candidate) AS r FROM cand) WHERE r <= {most}),
 short AS (SELECT n.id AS user, (SELECT count(*) FROM near WHERE near.user = n.id) AS held FROM nodes n),
 extra AS (SELECT f.user, f.candidate, held, row_number() OVER (PARTITION BY f.user ORDER BY place) AS r FROM filled f JOIN short USING (user)
@@ -930,15 +1014,18 @@ def radar_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The least node and the least one that it has no edge with. Five new friends have degree two each.
 _UNLINKED = """pairs AS (SELECT u, min(id) AS v FROM (SELECT min(id) AS u FROM nodes) JOIN nodes ON id <> u
   WHERE NOT EXISTS (SELECT 1 FROM adj WHERE src = u AND dst = id) GROUP BY u)"""
-_WHAT_IF = "w AS (SELECT u, v, ra / (1.0 + ra) AS p0, (ra + 2.5) / (1.0 + ra + 2.5) AS p1 FROM b)"
+#: The same graph with five more nodes, each a friend of both, and what is counted on it.
+_MORE = """more AS (SELECT * FROM e UNION ALL SELECT unnest([u, v]), (SELECT max(dst) FROM adj) + 1001 + i FROM pairs, range(5) t(i)),
+adj2 AS (SELECT u AS src, v AS dst FROM more UNION ALL SELECT v, u FROM more), deg2 AS (SELECT src AS id, count(*) AS d FROM adj2 GROUP BY src)"""
+_FEATURES2 = FEATURES.replace("c AS", "c2 AS").replace("b AS", "b2 AS").replace(" adj ", " adj2 ").replace(" deg ", " deg2 ").replace(" c USING", " c2 USING")
 
 
 @register(
     "what_if_score",
     sql(
-        SUPPLIERS, ADJ, DEG, NODES, _UNLINKED, FEATURES, _WHAT_IF,
-        final="""SELECT u, v, round(p0, 8) AS base_probability, round(p1, 8) AS new_probability,
-        round(p1 - p0, 8) AS probability_change, round(5 / ln(2.0::DOUBLE), 8) AS adamic_adar_change FROM w""",
+        SUPPLIERS, ADJ, DEG, NODES, _UNLINKED, FEATURES, _MORE, _FEATURES2,
+        final="""SELECT b.u, b.v, round(b.ra / (1.0 + b.ra), 8) AS base_probability, round(b2.ra / (1.0 + b2.ra), 8) AS new_probability,
+        round(b2.ra / (1.0 + b2.ra) - b.ra / (1.0 + b.ra), 8) AS probability_change, round(b2.aa - b.aa, 8) AS adamic_adar_change FROM b JOIN b2 USING (u, v)""",
     ),
 )
 def what_if_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -968,15 +1055,29 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("recommend_fitted")
 def recommend_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recommendations by a random forest on the local features of the training graph, with drawn candidates."""
-    train, known = _local_train(spark, sf_dir)
-    model = M.zoo(list(X.LOCAL))["random_forest"].fit(train)
-    return rounded(R.recommend(known, model.transform, top=10, full_graph=suppliers(spark, sf_dir)))
+    """Recommendations by a random forest on all 28 features of the training graph, with chosen candidates."""
+    pairs = save(S.labeled_pairs(save(suppliers(spark, sf_dir)), save))
+    known = save(pairs.where("split = 'train' and label = 1").select("u", "v"))
+    made = PairFeatures.fit(known, save)
+    model = M.zoo(COLUMNS)["random_forest"].fit(save(made.transform(pairs.where("split = 'train'"))))
+    return rounded(R.recommend(known, model.transform, top=10, full_graph=suppliers(spark, sf_dir), features=lambda _, p: made.transform(p)))
+
 
+_RAW = {n: f"CAST({x[6:-4] if x.startswith('round(') else x} AS DOUBLE)" for n, x in MEASURES.items()}
 
-@register("transform_pair")
+
+@register(
+    "transform_pair",
+    sql(
+        *SCORE_CTES,
+        f"raw AS (SELECT u, v, split, {', '.join(f'{x} AS {n}' for n, x in _RAW.items())} FROM b)",
+        "sc AS (SELECT " + ", ".join(f"avg({n}) AS m_{n}, CASE WHEN stddev_pop({n}) = 0 THEN 1 ELSE stddev_pop({n}) END AS s_{n}" for n in _RAW) + " FROM raw WHERE split = 'train')",
+        final="SELECT u, v, " + ", ".join(f"round({n}, 6) AS {n}, round(({n} - m_{n}) / s_{n}, 6) AS scaled_{n}" for n in _RAW) + " FROM raw, sc WHERE split = 'test'",
+        recursive=True,
+    ),
+)
 def transform_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw features of the test pairs and the same as a model of the training pairs sees them."""
+    """Local features of the test pairs, and the same as a model of the training pairs sees them."""
     edges = save(suppliers(spark, sf_dir))
     pairs = save(S.labeled_pairs(edges, save))
     known = save(pairs.where("split = 'train' and label = 1").select("u", "v"))
@@ -985,11 +1086,20 @@ def transform_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.transform_pairs(known, pairs.where("split = 'test'").select("u", "v"), list(X.LOCAL), scale), 6)
 
 
-def _local_train(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Training pairs with local features, and the training graph."""
+@register("transform_pair_all")
+def transform_pair_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all 28 features."""
     pairs = save(S.labeled_pairs(save(suppliers(spark, sf_dir)), save))
-    known = save(pairs.where("split = 'train' and label = 1").select("u", "v"))
-    return save(X.local_features(known, pairs.where("split = 'train'"))), known
+    made = PairFeatures.fit(save(pairs.where("split = 'train' and label = 1").select("u", "v")), save)
+    scale = M.fit_scale(M.clean_nonfinite(save(made.transform(pairs.where("split = 'train'"))), COLUMNS), COLUMNS)
+    return rounded(R.transform_pairs(made.known, pairs.where("split = 'test'").select("u", "v"), COLUMNS, scale, lambda _, p: made.transform(p)), 6)
+
+
+@register("split_features_own_edge_left_out", sql(*SCORE_CTES, "own AS (SELECT * REPLACE (du - own AS du, dv - own AS dv) FROM (SELECT *, CASE WHEN label = 1 AND split = 'train' THEN 1 ELSE 0 END AS own FROM b))", final="SELECT u, v, label, split, " + ", ".join(f"{x} AS {n}" for n, x in MEASURES.items()) + " FROM own", recursive=True))
+def split_features_own_edge_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of labelled pairs in which a training edge doesn't count for itself."""
+    pairs = save(S.labeled_pairs(save(suppliers(spark, sf_dir)), save))
+    return rounded(X.local_features(pairs.where("split = 'train' and label = 1").select("u", "v"), pairs, exclude_self_edge=True))
 
 
 @register("assemble_features")
