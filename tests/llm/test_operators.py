@@ -336,6 +336,35 @@ def test_html_sections_without_end():
     assert html_extract.extract_text("<p>a" + "<![CDATA[x>" * 100_000 + "b") == "ab"
 
 
+def test_html_class_words_are_evidence():
+    lines = [f"Paragraph {k}, long enough to count, with words and more words in it, of an article." for k in range(4)]
+    text, body = "\n".join(lines), "".join(f"<p>{x}</p>" for x in lines)
+    extract = html_extract.extract_text
+    for wrapper in ("page has-sidebar", "no-comments main", "foot notes", "sidebar-layout", "related"):
+        assert extract(f'<div class="{wrapper}">{body}</div>') == text
+    section = '<section class="related-work"><h2>Earlier</h2><p>Work that did less, and is cited here at length.</p></section>'
+    assert extract(f"<article>{body}{section}</article>") == text + "\nEarlier\nWork that did less, and is cited here at length."
+    for beside in ("related", "related-posts", "sidebar", "ad", "cookie-notice", "shareButtons", "comments"):
+        assert extract(f'<div>{body}</div><div class="{beside}"><p>Something else, in a line, or two.</p></div>') == text
+    # However much readers write, and however little the article does.
+    assert extract(f'<article><p>Short.</p></article><div class="comments">{body * 5}</div><div class="ad">{body}</div>') == "Short."
+    assert extract(f'<div class="ad">{body}</div>') == extract(f'<p></p><div id="comments">{body}</div>') == ""
+
+
+def test_html_takes_linear_time():
+    import time
+
+    pages = [
+        "<em><div>" + "<span>" * 40_000 + "</em>" * 40_000, "<span>" * 40_000 + "<td></td>" * 40_000, "<b>" * 60_000 + "<li>a" * 60_000,
+        "<p>" + "<span>" * 60_000 + "<div></div>" * 40_000, '<a "' * 200_000, "<a '\">" * 150_000, "<div class=nav>" * 60_000 + "x",
+        "<div>" + "<p>words, and more of them, in a row, up to a length</p><i>x</i>" * 10_000,
+    ]
+    for page in pages:
+        began = time.process_time()
+        html_extract.extract_text(page)
+        assert time.process_time() - began < 8
+
+
 def test_html_plain_layout():
     body = "".join(f"<p>Paragraph {k}, with some words, and others.</p>" for k in range(5))
     page = f"<body><div id=menu><a href=1>One</a> <a href=2>Two</a></div><div><div class=story>{body}</div><div><a href=x>More, stories, here</a></div></div></body>"

@@ -2,8 +2,10 @@
 
 Text blocks pass points for length and commas to their ancestors; an element's points are discounted by its
 link density; the best container and those siblings that score well beside it are kept. Elements that by
-their tag, role, class or id hold menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments are cut before. Each page is read once, by one pass over its tags; work and memory are linear in it.
+their tag or role hold menus, headers, footers, sidebars, notices, adverts or forms are cut before. Words of a
+class or id are evidence against an element, weighed by what it holds: one marked by a weak word stays if half
+of the page's points are in it, one marked by a strong word (a sidebar, a menu) if next to nothing is outside of
+it; adverts, consent and reader comments never do. Each page is read once, by one pass over its tags; work and memory are linear in it.
 """
 
 from __future__ import annotations
@@ -29,46 +31,82 @@ BLOCK = frozenset(
 #: Elements whose content is never text of the article.
 DROPPED = frozenset("head script style noscript template nav footer aside form fieldset button select option textarea iframe object embed svg math canvas audio video menu dialog search noembed noframes title xmp datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Parts of a class or id, as whole words, that mark what is not the article.
-_MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr "
-    "notice notices alert newsletter subscribe subscription signup login popup modal overlay sidebar sidebars aside rail widget widgets related recommended "
-    "share sharing social comment comments commentlist respond replies disqus discussion menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager "
-    "footer foot masthead toolbar tags skip".split()
+#: Words of a class or id that mark what never is the article,
+_NEVER = frozenset(
+    "ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr "
+    "newsletter subscribe subscription signup comment comments commentlist respond replies disqus footer".split()
 )
+#: what is not, unless all else on the page is next to nothing,
+_STRONG = frozenset("login popup modal overlay sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager masthead".split())
+#: and what hardly is, if they stand alone or among words of layout: a section on related work is one of the article.
+_WEAK = frozenset("aside banner banners notice notices alert rail widget widgets related recommended share sharing social discussion foot toolbar tags skip".split())
+_LAYOUT = frozenset(
+    "area article articles bar block body bottom box button buttons col column container content entries footer grid group head header icons inner item items "
+    "left link links list main module news outer page panel post posts primary read reading right row secondary section site stories story title to top wrap wrapper".split()
+)
+#: Before a mark they say that an element stands beside such a thing, or doesn't.
+_BESIDE = frozenset("has have with no not without".split())
 _HEAD_MARKS = frozenset("header topbar".split())
+#: A strongly marked element is all there is if it holds so many times the points outside of it.
+_ALONE = 10.0
 _KEPT = frozenset("html body article main".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A start tag ends these open elements first (up to the nearest element that holds them).
-_ENDS = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dd dt", ("dl",)), "dd": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select", "datalist"))}
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dd", "dt"), ("dl",)), "dd": (("dd", "dt"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select", "datalist")),
+}
+_SCOPES = ("table", "td", "th", "button", "object", "svg", "caption")
 _ENDS_P = BLOCK - frozenset("html body head title option optgroup tr td th tbody thead tfoot legend".split())
 
 #: Generations that a block passes points to: all of them to its own element and that one's parent, then shares.
 _SHARES = (1.0, 1.0, 0.5, 1 / 3, 1 / 4)
 
 
-def _unwanted(name: str, attrs: str, in_article: bool) -> bool:
+#: What speaks against an element: nothing, a weak or a strong mark, or what cuts it at once.
+_FINE, _MARKED, _BAD, _CUT = range(4)
+
+
+def _marks(value: str, in_article: bool, only: frozenset[str] | None) -> int:
+    """The strongest mark among a class's or id's names; only: the words that count."""
+    found = _FINE
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if _BESIDE.intersection(words):
+            continue
+        counted = words if only is None else [w for w in words if w in only]
+        if _NEVER.intersection(counted) or (not in_article and _HEAD_MARKS.intersection(counted)):
+            return _CUT
+        if _STRONG.intersection(counted):
+            found = _BAD
+        elif not found and _WEAK.intersection(counted) and all(w in _WEAK or w in _LAYOUT for w in words):
+            found = _MARKED
+    return found
+
+
+def _against(name: str, attrs: str, in_article: bool) -> int:
     if name in DROPPED or (name == "header" and not in_article):
-        return True
+        return _CUT
     if not attrs or attrs.isspace():
-        return False
+        return _FINE
+    found = _FINE
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return _CUT
         if name in _KEPT and not (name == "article" and key in ("class", "id")):
             continue
         if key == "role" and value.lower() in _ROLES:
-            return True
+            return _CUT
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return _CUT
         if key in ("class", "id"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if name == "article":
-                words &= {"comment", "comments", "ad", "advert", "sponsored", "promo", "related"}
-            if words & _MARKS or (not in_article and words & _HEAD_MARKS):
-                return True
-    return False
+            found = max(found, _marks(value, in_article, _OF_ARTICLES if name == "article" else None))
+    return found
+
+
+#: Marks that count for an article element, which may be a comment or an advert.
+_OF_ARTICLES = frozenset("comment comments ad advert sponsored promo related".split())
 
 
 class _Page:
@@ -77,10 +115,12 @@ class _Page:
     def __init__(self) -> None:
         self.name, self.parent, self.last = ["#root"], [-1], [0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
+        self.marked: dict[int, int] = {}
 
     def parse(self, source: str) -> None:
         stack, dropped, links = [0], 0, 0
-        opened: dict[str, int] = {}
+        opened: dict[str, list[int]] = {}  # places in the stack of each name's open elements
+        shut_in: list[int] = []  # and of open blocks
         articles = 0
         text: list[str] = []
         linked = 0
@@ -108,7 +148,9 @@ class _Page:
             nonlocal links, articles, dropped
             node = stack.pop()
             name = self.name[node]
-            opened[name] -= 1
+            opened[name].pop()
+            if name in BLOCK:
+                shut_in.pop()
             self.last[node] = len(self.name) - 1
             if name == "a":
                 links -= 1
@@ -117,19 +159,17 @@ class _Page:
             if dropped and node == dropped:
                 dropped = 0
 
+        def nearest(names) -> int:  # noqa: ANN001
+            """The place in the stack of the innermost open element of these names, or -1."""
+            return max((opened[n][-1] for n in names if opened.get(n)), default=-1)
+
         def close(name: str) -> None:
             if opened.get(name):
-                if name in BLOCK or any(self.name[n] in BLOCK for n in stack[stack_at(name) :]):
+                at = opened[name][-1]
+                if shut_in and shut_in[-1] >= at:
                     flush()
-                while self.name[stack[-1]] != name:
+                while len(stack) > at:
                     pop()
-                pop()
-
-        def stack_at(name: str) -> int:
-            k = len(stack) - 1
-            while self.name[stack[k]] != name:
-                k -= 1
-            return k
 
         sections = True
         while pos < end:
@@ -158,7 +198,7 @@ class _Page:
             name = name.lower()
             if slash:
                 # An inline end tag doesn't reach over the block it stands in.
-                if name in BLOCK or (opened.get(name) and not any(self.name[n] in BLOCK for n in stack[stack_at(name) + 1 :])):
+                if name in BLOCK or (opened.get(name) and not (shut_in and shut_in[-1] > opened[name][-1])):
                     close(name)
                 elif name == "br":
                     add(" ")
@@ -181,17 +221,14 @@ class _Page:
                 continue
             if name in BLOCK:
                 flush()
-                if name in _ENDS_P and opened.get("p") and not dropped_above(self, stack, "p"):
+                # A table cell, list or other scope between keeps a paragraph open.
+                if name in _ENDS_P and opened.get("p") and nearest(_SCOPES) < opened["p"][-1]:
                     close("p")
                 if name in _ENDS:
                     ends, within = _ENDS[name]
-                    for n in reversed(stack):
-                        here = self.name[n]
-                        if here in within:
-                            break
-                        if here in ends.split():
-                            close(here)
-                            break
+                    at = nearest(ends)
+                    if at > nearest(within):
+                        close(self.name[stack[at]])
             if name in ("a", "article", "main"):
                 if name == "a" and opened.get("a"):
                     close("a")
@@ -201,13 +238,16 @@ class _Page:
             self.name.append(name)
             self.parent.append(stack[-1])
             self.last.append(node)
+            opened.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                shut_in.append(len(stack))
             stack.append(node)
-            opened[name] = opened.get(name, 0) + 1
-            if not dropped and _unwanted(name, attrs, articles > 0):
-                if name not in BLOCK:
-                    flush_inline = bool(text)  # what stood before stays one block with what follows
-                    if flush_inline:
-                        add(" ")
+            if not dropped and (against := _against(name, attrs, articles > 0)):
+                if name in BLOCK and against < _CUT:
+                    self.marked[node] = against
+                    continue
+                if name not in BLOCK and text:  # what stood before stays one block with what follows
+                    add(" ")
                 dropped = node
         flush()
         while len(stack) > 1:
@@ -215,15 +255,27 @@ class _Page:
         self.last[0] = len(self.name) - 1
 
 
-def dropped_above(page: _Page, stack: list[int], name: str) -> bool:
-    """Whether a table cell, list or other scope lies between the top and the nearest open `name`."""
-    for n in reversed(stack):
-        here = page.name[n]
-        if here == name:
-            return False
-        if here in ("table", "td", "th", "button", "object", "svg", "caption"):
-            return True
-    return True
+def _points(text: str, links: int) -> float:
+    return (1.0 + text.count(",") + text.count("、") + text.count("，") + len(text) / 100.0) * (1.0 - links / len(text))
+
+
+def _without_marked(page: _Page) -> None:
+    """Cut marked elements, from the outside in, by what they hold of the points that are left."""
+    n = len(page.name)
+    held = [0.0] * n
+    for node, text, links in page.blocks:
+        held[node] += _points(text, links)
+    for node in range(n - 1, 0, -1):
+        held[page.parent[node]] += held[node]
+    left, cut = held[0], [False] * n
+    for node in range(1, n):
+        cut[node] = cut[page.parent[node]]
+        against = page.marked.get(node)
+        if against and not cut[node]:
+            alone = held[node] > _ALONE * (left - held[node]) if against == _BAD else 2 * held[node] >= left
+            if not alone:
+                cut[node], left = True, left - held[node]
+    page.blocks = [b for b in page.blocks if not cut[b[0]]]
 
 
 def extract_text(source: str | None) -> str:
@@ -232,6 +284,8 @@ def extract_text(source: str | None) -> str:
         return ""
     page = _Page()
     page.parse(source)
+    if page.marked:
+        _without_marked(page)
     if not page.blocks:
         return ""
     n = len(page.name)
@@ -239,8 +293,7 @@ def extract_text(source: str | None) -> str:
     for node, text, links in page.blocks:
         chars[node] += len(text)
         linked[node] += links
-        points = (1.0 + text.count(",") + text.count("、") + text.count("，") + len(text) / 100.0) * (1.0 - links / len(text))
-        up = node
+        points, up = _points(text, links), node
         for share in _SHARES:
             if up < 0:
                 break
@@ -279,7 +332,7 @@ def extract_text(source: str | None) -> str:
     for node, text, _ in page.blocks:
         while k < len(kept) and kept[k][1] < node:
             k += 1
-        if any(lo <= node <= hi for lo, hi in kept[k : k + 1]) or any(lo <= node <= hi for lo, hi in kept):
+        if k < len(kept) and kept[k][0] <= node:
             out.append(text)
     return "\n".join(out)
 
