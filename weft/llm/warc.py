@@ -134,8 +134,7 @@ def write(pages: DataFrame, folder: str, row_id: str = "page_id", url: str = "ur
     place = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 33)
     refers = F.when(F.col("row_id").isNull() | (F.col("first_id") != F.col("row_id")), F.col("first_id"))
     joined = rows.join(copies, "digest", "left").select("row_id", "url", "payload", "digest", refers.alias("refers_to"), "first_url", key.alias("key"))
-    slices = F.lit(max(shards, 1))
-    dealt = joined.withColumn("shard", F.shiftright(place * slices, 31)).repartitionByRange("shard").sortWithinPartitions("shard", "key", "row_id", "digest", "url")
+    dealt = joined.withColumn("shard", F.shiftright(place * F.lit(shards), 31)).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "key", "row_id", "digest", "url")
 
     columns = ["row_id", "url", "payload", "digest", "refers_to", "first_url", "shard"]
 
