@@ -145,3 +145,13 @@ def test_spectral_residuals(spark):
         assert np.linalg.norm(m @ y - y * values, axis=0).max() < 1e-3
     z = E.spectral_embed(k, save, dim=4)
     assert z.count() == 34 and z.where(F.abs(F.aggregate("z", F.lit(0.0), lambda s, x: s + x * x) - 1) > 1e-9).count() == 0
+
+
+def test_two_hop_features_equal_those_of_pairs(spark, graph, monkeypatch):
+    from weft.operators import features as X
+
+    edges = save(graph([*blocks(2, 15, 0.3, 0.1), *((500, 600 + k) for k in range(40)), (600, 700), (601, 700)]))
+    want = sorted(tuple(r) for r in X.local_features(edges, X.two_hop_pairs(edges)).select("u", "v", *(F.round(c, 9) for c in X.LOCAL)).collect())
+    for part in (1024, 7):
+        monkeypatch.setattr(X, "PART", part)
+        assert sorted(tuple(r) for r in X.two_hop_features(edges).select("u", "v", *(F.round(c, 9) for c in X.LOCAL)).collect()) == want

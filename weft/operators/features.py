@@ -22,6 +22,33 @@ def two_hop_pairs(edges: DataFrame) -> DataFrame:
     return found.join(edges, ["u", "v"], "left_anti")
 
 
+#: Neighbours of a node that are paired in one task; a hub's are split into parts of about so many.
+PART = 1024
+
+
+def two_hop_features(edges: DataFrame) -> DataFrame:
+    """The local features of all pairs u < v with a common neighbour that aren't edges, from one pass over wedges.
+
+    A wedge carries its middle's degree, so counts and sums come from the same grouping as the pairs. A hub's
+    neighbours are dealt to parts by hash: each neighbour meets each part, in a task of its own.
+    """
+    deg = degree(edges)
+    arms = adjacency(edges).join(deg.select(F.col("id").alias("src"), "d"), "src")
+    parts = F.ceil(F.col("d") / PART).cast("int")
+    left = arms.select("src", "d", F.col("dst").alias("u"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = arms.select("src", F.col("dst").alias("v"), F.pmod(F.xxhash64("dst"), parts).cast("int").alias("part"))
+    shared = _shared(left.join(right, ["src", "part"]).where("u < v"))
+    pairs = shared.join(edges, ["u", "v"], "left_anti").join(deg.toDF("u", "_du"), "u").join(deg.toDF("v", "_dv"), "v")
+    measured = _measures(F.col("_du"), F.col("_dv"), F.col("_cn"), F.coalesce("_aa", F.lit(0.0)), F.col("_ra"))
+    return pairs.select("u", "v", *[c.alias(n) for n, c in measured.items()])
+
+
+def _shared(wedges: DataFrame) -> DataFrame:
+    """(u, v, _cn, _aa, _ra) of wedges (u, v, d), d the middle's degree."""
+    log_share = F.when(F.col("d") > 1, 1.0 / F.log(F.when(F.col("d") > 1, F.col("d")).cast("double")))
+    return wedges.groupBy("u", "v").agg(F.count("*").alias("_cn"), F.sum(log_share).alias("_aa"), F.sum(F.lit(1.0) / F.col("d")).alias("_ra"))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.when(b != 0, a / F.when(b != 0, b)).otherwise(F.lit(0.0))
@@ -58,9 +85,7 @@ def local_features(edges: DataFrame, pairs: DataFrame, exclude_self_edge: bool =
     keys = pairs.select("u", "v").distinct()
     weighed = adj.join(deg.select(F.col("id").alias("dst"), "d"), "dst").select(F.col("src").alias("u"), F.col("dst").alias("z"), "d")
     wedges = keys.join(weighed, "u").join(adj.select(F.col("src").alias("v"), F.col("dst").alias("z")), ["v", "z"])
-    log_share = F.when(F.col("d") > 1, 1.0 / F.log(F.when(F.col("d") > 1, F.col("d")).cast("double")))
-    shared = wedges.groupBy("u", "v").agg(F.count("*").alias("_cn"), F.sum(log_share).alias("_aa"), F.sum(F.lit(1.0) / F.col("d")).alias("_ra"))
-    full = pairs.join(shared, ["u", "v"], "left").join(deg.toDF("u", "_du"), "u", "left").join(deg.toDF("v", "_dv"), "v", "left")
+    full = pairs.join(_shared(wedges), ["u", "v"], "left").join(deg.toDF("u", "_du"), "u", "left").join(deg.toDF("v", "_dv"), "v", "left")
     zero = F.lit(0).cast("bigint")
     own = zero
     if exclude_self_edge:

@@ -538,8 +538,7 @@ def closeness_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _local(name: str) -> None:
     @register(name, sql(PARTS, ADJ, DEG, TWO_HOP, FEATURES, final=f"SELECT u, v, {MEASURES[name]} AS {name} FROM b"))
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        edges = parts(spark, sf_dir)
-        return rounded(X.local_features(edges, X.two_hop_pairs(edges)).select("u", "v", name))
+        return rounded(X.two_hop_features(save(parts(spark, sf_dir))).select("u", "v", name))
 
 
 for _name in X.LOCAL:
@@ -1007,8 +1006,7 @@ _CLIP = "round(greatest(least({}, 1.0), 0.0), 8) AS {}"
 
 @register("radar_profile", sql(PARTS, ADJ, DEG, TWO_HOP, FEATURES, final="SELECT u, v, " + ", ".join(_CLIP.format(*x) for x in (("cn / 10.0::DOUBLE", "r_common"), ("aa / 4.0", "r_adamic"), ("coalesce(CAST(cn AS DOUBLE) / nullif(du + dv - cn, 0), 0) * 2.0", "r_jaccard"), ("ra * 3.0", "r_allocation"), ("du * dv / 2000.0::DOUBLE", "r_attachment"), ("0.5::DOUBLE", "r_cosine"))) + " FROM b"))
 def radar_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = parts(spark, sf_dir)
-    return rounded(R.radar_profile(X.local_features(edges, X.two_hop_pairs(edges))))
+    return rounded(R.radar_profile(X.two_hop_features(save(parts(spark, sf_dir)))))
 
 
 #: The least node and the least one that it has no edge with. Five new friends have degree two each.
