@@ -442,7 +442,7 @@ def test_oracles_hold(spark):
     from weft.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         want = con.execute(sql)
