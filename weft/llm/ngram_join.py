@@ -240,6 +240,11 @@ def _twins(narrow: DataFrame, classes: DataFrame, save: Save) -> DataFrame:
     return ends.join(least, "doc_id").where("rep <> y").select(F.col("rep").alias("x"), "y")
 
 
+def _small(percent: int) -> int:
+    """Sets of fewer tokens have partners with which they share less than the longest extension asks for."""
+    return max(2 * MOST, -(-100 * MOST // percent))
+
+
 def _extensions(percent: int) -> tuple[Column, Column]:
     """The least extension whose prefix holds a posting's token: against any partner, and against one not smaller.
 
@@ -267,7 +272,7 @@ def _shared(reps: DataFrame, percent: int, save: Save) -> DataFrame:
         # An extension can't ask for more tokens than a partner must have in common.
         enough = F.lit(True)
         for k in range(1, MOST + 1):
-            enough = enough & ((F.col(f"n{k}") >= k) | (F.col("nt") < 2 * MOST))
+            enough = enough & ((F.col(f"n{k}") >= k) | (F.col("nt") < _small(percent)))
         whole, shared = shared, save(shared.join(save(possible.where(enough & (F.col("n1") > 0)).select("rep")), "rep", "left_semi"))
         release(reps.sparkSession, whole)
     return shared
@@ -290,7 +295,7 @@ def _stars(shared: DataFrame, marks: DataFrame, known: Classes) -> DataFrame:
         sized = F.lit(100) * F.least("n_tokens", "yn") >= F.lit(percent) * F.greatest("n_tokens", "yn")
         star = at.join(pivots, "token").where(sized & (F.col("component") != F.col("yc"))).groupBy(F.col("rep").alias("x"), "y").agg(F.count("*").alias("c"), F.max("n_tokens").alias("n"))
         # A pair with fewer of them than the longest extension asks for is hardly a link; if it is, the join finds it.
-        star = star.where((F.col("c") >= MOST) | (F.col("n") < 2 * MOST))
+        star = star.where((F.col("c") >= MOST) | (F.col("n") < _small(percent)))
         star = save(star.groupBy("x").agg(F.max(F.struct("c", "y")).alias("best")).select("x", F.col("best.y").alias("y")))
         found = known.verified(star)
         linked = found.count()
@@ -318,7 +323,7 @@ def _candidates(shared: DataFrame, labels: DataFrame, percent: int, save: Save)
     left = [F.array_min(F.array(*[F.col(f"m{j}") / j for j in range(1, k + 1)])) for k in range(1, MOST + 1)]
     costs = F.array(*[F.struct((F.col(f"m{k}") + VERIFY_COST * left[k - 1]).alias("cost"), F.lit(k).alias("l")) for k in range(1, MOST + 1)])
     chosen = at.groupBy("rep").agg(*rows, F.max("n_tokens").alias("nt"))
-    chosen = save(chosen.select("rep", F.when(F.col("nt") < 2 * MOST, F.lit(1)).otherwise(F.array_min(costs)["l"]).alias("l")))
+    chosen = save(chosen.select("rep", F.when(F.col("nt") < _small(percent), F.lit(1)).otherwise(F.array_min(costs)["l"]).alias("l")))
 
     # x asks, y is not larger; their size classes are equal or neighbours. The classes are a little wider than the
     # size filter, so that rounding can't part sizes at its edge.
