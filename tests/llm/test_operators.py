@@ -371,6 +371,25 @@ def test_html_plain_layout():
     assert html_extract.extract_text(page).split("\n") == [f"Paragraph {k}, with some words, and others." for k in range(5)]
 
 
+def test_language_replaces_columns_of_its_names(spark, docs):
+    model = langid.train(docs.withColumn("lang", F.lit("en")))
+    clash = docs.select("doc_id", F.lit(7).alias("lang_pred"), "text", F.lit("x").alias("score"))
+    got = langid.identify(clash, model)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"]
+    assert sorted(got.collect(), key=str) == sorted(langid.identify(docs.select("doc_id", "text"), model).collect(), key=str)
+
+
+def test_join_below_half(spark):
+    """Sets of very different size that are similar enough at a low threshold."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(12):
+        text = prose(rng, 16).split()
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[4:11]))]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), n=3, percent=30).collect()}
+    assert got == {i: c for i, (_, c) in brute.components(rows, 3, 30).items()}
+
+
 def test_passages(spark, docs, corpus, empty):
     got = {r["doc_id"]: r for r in passages.near_passages(docs).collect()}
     found = {i for i, r in got.items() if r["n_passages"]}
@@ -384,6 +403,34 @@ def test_passages(spark, docs, corpus, empty):
     assert passages.near_passages(empty).count() == 0
 
 
+def test_passages_around_a_frequent_quote(spark):
+    """Pairs of passages of 54 words, one word edited in most, among documents that only share the quote in their middle."""
+    rng, rows, want = random.Random(3), [], {}
+    for case, (quote, holders, edited) in enumerate([(40, 60, True), (36, 100, True), (30, 300, True), (30, 100, False), (45, 60, True)]):
+        middle, base, side = prose(rng, quote), 10_000 * case, (54 - quote) // 2
+        for k in range(20):
+            passage = f"{prose(rng, side)} {middle} {prose(rng, 54 - quote - side)}".split()
+            other = list(passage)
+            if edited:
+                other[rng.randrange(5, 49)] = "changed"
+            for m, p in enumerate((passage, other)):
+                rows.append((base + 2 * k + m, " ".join([prose(rng, 80), *p, prose(rng, 80)])))
+                want[base + 2 * k + m] = base + 2 * k
+        for k in range(holders):
+            rows.append((base + 1000 + k, f"{prose(rng, 80)} {middle} {prose(rng, 80)}"))
+            want[base + 1000 + k] = base + 1000 + k
+    got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i] in (i, want[i]) for i in want)
+    assert sum(got[i] == want[i] for i in want if i % 10_000 < 1000 and i % 2) >= 95  # of 100 pairs
+
+
+def test_common_passage_of_repeated_shingles():
+    """A passage whose shingles occur in y before is found where all of it is."""
+    x = np.arange(100, 160, dtype=np.uint64)
+    y = np.r_[np.arange(130, 140), np.arange(5), x, np.arange(5), np.arange(110, 120)].astype(np.uint64)
+    assert passages.common_passages(x, y, 46, 80) == [(0, 60, 15, 75)]
+
+
 @pytest.mark.parametrize("copies", [1, 8, 9, 50])
 def test_unite_many_copies(copies):
     """Four centres of a passage of document 1, each paired with every copy in document 2."""

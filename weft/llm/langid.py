@@ -230,9 +230,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """Append lang_pred (a learned language, or `und`) and score (double, 0 to 1) to docs' columns.
 
     `und`, with score 0: the text is null or has no letter, or the model learned no language. Only the text decides.
-    Repeated rows are repeated. docs must not have columns of these two names. No shuffle.
+    Repeated rows are repeated. Columns of docs with these two names are replaced; text is none of them. No shuffle.
     """
     tune(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
     schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
     at = docs.columns.index(text)
 
