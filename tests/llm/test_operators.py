@@ -424,6 +424,20 @@ def test_passages_around_a_frequent_quote(spark):
     assert sum(got[i] == want[i] for i in want if i % 10_000 < 1000 and i % 2) >= 95  # of 100 pairs
 
 
+def test_equal_runs_have_equal_marks():
+    """Whatever is around a run: the second look of passages drops runs by their marks."""
+    rng = np.random.default_rng(5)
+    for n in (0, 10, 16, 40, 300):
+        same = rng.integers(0, 2**63, n).astype(np.uint64)
+        found = []
+        for before, behind in ((0, 0), (7, 30), (50, 1)):
+            code = np.concatenate([rng.integers(0, 2**63, before).astype(np.uint64), same, rng.integers(0, 2**63, behind).astype(np.uint64)])
+            marks, index = passages._marks(code)
+            assert len(index) == max(len(code) - passages.RUN + 1, 0)
+            found.append(marks[index[before : before + max(n - passages.RUN + 1, 0)]].tolist())
+        assert found[0] == found[1] == found[2]
+
+
 def test_common_passage_of_repeated_shingles():
     """A passage whose shingles occur in y before is found where all of it is."""
     x = np.arange(100, 160, dtype=np.uint64)
