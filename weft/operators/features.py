@@ -33,20 +33,20 @@ def two_hop_features(edges: DataFrame) -> DataFrame:
     neighbours are dealt to parts by hash: each neighbour meets each part, in a task of its own.
     """
     deg = degree(edges)
-    arms = adjacency(edges).join(deg.select(F.col("id").alias("src"), "d"), "src")
+    arms = adjacency(edges).join(deg.toDF("src", "d"), "src").join(deg.toDF("dst", "_d"), "dst")
     parts = F.ceil(F.col("d") / PART).cast("int")
-    left = arms.select("src", "d", F.col("dst").alias("u"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = arms.select("src", F.col("dst").alias("v"), F.pmod(F.xxhash64("dst"), parts).cast("int").alias("part"))
-    shared = _shared(left.join(right, ["src", "part"]).where("u < v"))
-    pairs = shared.join(edges, ["u", "v"], "left_anti").join(deg.toDF("u", "_du"), "u").join(deg.toDF("v", "_dv"), "v")
+    left = arms.select("src", "d", F.col("dst").alias("u"), F.col("_d").alias("_du"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = arms.select("src", F.col("dst").alias("v"), F.col("_d").alias("_dv"), F.pmod(F.xxhash64("dst"), parts).cast("int").alias("part"))
+    # The ends' degrees come along, so pairs move once; where no measure asks for them they are pruned.
+    shared = _shared(left.join(right, ["src", "part"]).where("u < v"), F.first("_du").alias("_du"), F.first("_dv").alias("_dv"))
     measured = _measures(F.col("_du"), F.col("_dv"), F.col("_cn"), F.coalesce("_aa", F.lit(0.0)), F.col("_ra"))
-    return pairs.select("u", "v", *[c.alias(n) for n, c in measured.items()])
+    return shared.join(edges, ["u", "v"], "left_anti").select("u", "v", *[c.alias(n) for n, c in measured.items()])
 
 
-def _shared(wedges: DataFrame) -> DataFrame:
-    """(u, v, _cn, _aa, _ra) of wedges (u, v, d), d the middle's degree."""
+def _shared(wedges: DataFrame, *more: Column) -> DataFrame:
+    """(u, v, _cn, _aa, _ra, more) of wedges (u, v, d), d the middle's degree."""
     log_share = F.when(F.col("d") > 1, 1.0 / F.log(F.when(F.col("d") > 1, F.col("d")).cast("double")))
-    return wedges.groupBy("u", "v").agg(F.count("*").alias("_cn"), F.sum(log_share).alias("_aa"), F.sum(F.lit(1.0) / F.col("d")).alias("_ra"))
+    return wedges.groupBy("u", "v").agg(F.count("*").alias("_cn"), F.sum(log_share).alias("_aa"), F.sum(F.lit(1.0) / F.col("d")).alias("_ra"), *more)
 
 
 def ratio(a: Column, b: Column) -> Column:
