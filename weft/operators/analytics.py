@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from weft.functions import hashing
 from weft.operators import graph as G
 from weft.operators.components import connected_components
+from weft.sources.scratch import materialize
 
 Save = Callable[[DataFrame], DataFrame]
 
@@ -104,8 +105,8 @@ def neighbourhood_closeness(edges: DataFrame, save: Save, precision: int = 12, m
 
     Every node holds a HyperLogLog sketch of the nodes within t hops; a round merges it with its neighbours' sketches,
     until no estimate grows. Rows are nodes and edges, never pairs of nodes; the rounds are those of the diameter.
-    The sum of distances is that over t of the nodes that aren't within t hops. The standard error of a count is
     Young sketches take little room on disk and much in memory, so joins with them are never broadcast.
+    The sum of distances is that over t of the nodes that aren't within t hops. The standard error of a count is
     0.83 / sqrt(2 ** precision): 1.3 % by default.
     """
     adj = save(G.adjacency(edges).union(G.nodes(edges).select("id", F.col("id").alias("dst"))).toDF("id", "near"))
@@ -224,25 +225,39 @@ def num_communities(labels: DataFrame) -> DataFrame:
     return labels.agg(F.countDistinct("community").alias("num_communities"))
 
 
-def greedy_communities(edges: DataFrame, most_edges: int = 200_000) -> DataFrame:
+def greedy_communities(edges: DataFrame, most_edges: int = 200_000, save: Save = lambda df: materialize(df, "graph")) -> DataFrame:
     """(id, community) by greedy modularity maximisation (Clauset, Newman and Moore 2004), larger communities first.
 
-    Agglomeration is sequential: all edges go to one task, so graphs above most_edges are refused
-    (`label_propagation` is for those). Ties: the least pair of community ids merges.
+    Only linked communities merge, and a gain depends on the two and on the number of all edges, so components are
+    agglomerated side by side with the same result. Within one it is sequential: one with more than most_edges edges
+    is refused (`louvain` and `label_propagation` are for those). Ties: the least pair of community ids merges.
     """
-    if edges.count() > most_edges:
-        raise ValueError("too many edges for one task: use label_propagation")
+    m = edges.count()
+    placed = save(edges.join(connected_components(edges, save).toDF("u", "component"), "u").select("u", "v", "component"))
+    largest, parts = placed.groupBy("component").count().agg(F.max("count"), F.count("*")).first()
+    if (largest or 0) > most_edges:
+        raise ValueError("too many edges for one task: use louvain or label_propagation")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_agglomerate(list(zip(pdf.u.tolist(), pdf.v.tolist()))), columns=["id", "community"])
-
-    return edges.select("u", "v", F.lit(0).alias("g")).groupBy("g").applyInPandas(lambda pdf: run(pdf), "id bigint, community bigint")
-
-
-def _agglomerate(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        groups = _agglomerate(list(zip(pdf.u.tolist(), pdf.v.tolist())), m)
+        return pd.DataFrame([(i, min(x), len(x)) for x in groups for i in x], columns=["id", "least", "size"])
+
+    # The rows are few and the work isn't: a number of partitions keeps them from being put together.
+    dealt = placed.repartition(max(1, min(parts, 1024)), "component")
+    found = save(dealt.groupBy("component").applyInPandas(lambda pdf: run(pdf), "id bigint, least bigint, size bigint"))
+    # Numbers from 0 by size downwards, then least member: a size's communities come after all larger ones.
+    groups = found.where("id = least").select("least", "size")
+    sizes = groups.groupBy("size").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a size
+    inside = F.row_number().over(W.partitionBy("size").orderBy("least")) - 1
+    named = groups.withColumn("_i", inside).join(sizes.select("size", before.alias("_before")), "size").select("least", (F.col("_before") + F.col("_i")).cast("bigint").alias("community"))
+    return found.join(named, "least").select("id", "community")
+
+
+def _agglomerate(links: list[tuple[int, int]], m: int) -> list[list[int]]:
+    """Communities of one component's links; m: the number of edges of the whole graph."""
     import heapq
 
-    m = len(links)
     near: dict[int, dict[int, float]] = {}
     for u, v in links:
         near.setdefault(u, {})[v] = near.setdefault(v, {})[u] = 1.0
@@ -265,8 +280,7 @@ def _agglomerate(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
         members[a] += members.pop(b)
         for c in near[a]:
             heapq.heappush(heap, (-gain(a, c), *sorted((a, c))))
-    order = sorted(members.values(), key=lambda x: (-len(x), min(x)))
-    return [(i, k) for k, group in enumerate(order) for i in group]
+    return list(members.values())
 
 
 def label_propagation(edges: DataFrame, save: Save, rounds: int = 10) -> DataFrame:
@@ -284,7 +298,7 @@ def graph_summary(edges: DataFrame, save: Save, communities: Callable[[DataFrame
     edges = save(edges)
     if edges.isEmpty():
         return counts(edges)
-    labels = save((communities or greedy_communities)(edges))
+    labels = save(communities(edges) if communities else greedy_communities(edges, save=save))
     parts = connected_components(edges, save).agg(F.countDistinct("component").alias("num_components")).withColumn("is_connected", F.col("num_components") == 1)
     out = counts(edges)
     for part in (density(edges), degree_stats(edges), avg_clustering(edges), transitivity(edges), parts, path_lengths(edges, save), modularity(edges, labels), num_communities(labels)):
