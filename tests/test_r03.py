@@ -2,9 +2,8 @@
 
 import re
 
-from pyspark.sql import functions as F
-
 from weft.operators import analytics as A
+from weft.operators import embeddings as E
 from weft.operators import features as X
 from weft.sources.scratch import materialize
 
@@ -46,3 +45,14 @@ def test_greedy_communities_of_components_are_those_of_the_whole(graph):
     for r in A.greedy_communities(edges, most_edges=13).collect():
         groups.setdefault(r["community"], []).append(r["id"])
     assert [sorted(groups[k]) for k in range(5)] == [[*range(20, 25)], [*range(4)], [*range(10, 14)], [*range(30, 34)], [40, 41]]
+
+
+def test_pairs_of_a_group_never_move(spark, monkeypatch):
+    monkeypatch.setattr(E, "GROUP_PART", 3)
+    rows = [(k, k % 2 if k < 18 else None, [float(k), 1.0] if k != 5 else None) for k in range(20)]
+    vecs = save(spark.createDataFrame(rows, "id bigint, group bigint, z array<double>"))
+    got = E.group_embedding_features(vecs.where("group is not null"), 2)
+    pairs = save(spark.createDataFrame([(a, b) for a in range(18) for b in range(a + 1, 18) if (b - a) % 2 == 0], "u bigint, v bigint"))
+    want = E.edge_embedding_features(pairs, vecs.select("id", "z"), 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert not re.search(r"hashpartitioning\([uv]#", plan(got))
