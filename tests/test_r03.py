@@ -56,3 +56,11 @@ def test_pairs_of_a_group_never_move(spark, monkeypatch):
     want = E.edge_embedding_features(pairs, vecs.select("id", "z"), 2)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert not re.search(r"hashpartitioning\([uv]#", plan(got))
+
+
+def test_all_pairs_of_node_features_never_move(spark):
+    stats = save(spark.createDataFrame([(k, k / 10, 1.0 / (k + 1), k % 3 if k < 8 else None) for k in range(10)], "id bigint, pagerank double, closeness double, community bigint"))
+    got = X.all_node_features(stats)
+    pairs = spark.createDataFrame([(a, b) for a in range(10) for b in range(a + 1, 10)], "u bigint, v bigint")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, X.node_features(pairs, stats).collect()))
+    assert "Exchange hashpartitioning" not in plan(got)
