@@ -72,8 +72,13 @@ def dense_rank_of(distinct: DataFrame, column: str) -> DataFrame:
 
 def largest_component(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges of the component with the most nodes; of equal ones that of the least id. labels(id, component)."""
+    return edges.join(largest_members(labels).select(F.col("id").alias("u")), "u", "left_semi").select("u", "v")
+
+
+def largest_members(labels: DataFrame) -> DataFrame:
+    """(id) of that component."""
     top = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    return edges.join(labels.join(top, "component", "left_semi").select(F.col("id").alias("u")), "u", "left_semi").select("u", "v")
+    return labels.join(top, "component", "left_semi").select("id")
 
 
 def max_degree_node(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators.graph import dedup_undirected
+from weft.sources.scratch import materialize
 
 #: Zachary's karate club (1977), each line one node and its larger neighbours. Fixed values.
 KARATE = """
@@ -97,9 +98,40 @@ def shared_order_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def same_day_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers who ordered on one day with equal priority and status."""
+    return group_pairs(same_day_members(spark, sf_dir))
+
+
+def same_day_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(g, p), saved: the customers of each day, priority and status, which are numbered."""
     by = ["o_orderdate", "o_orderpriority", "o_orderstatus"]
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*by, F.col("o_custkey").alias("p")).distinct()
-    return _pairs(rows, by, "p")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*by, F.col("o_custkey").alias("p")).where("p is not null").distinct()
+    groups = materialize(rows.select(*by).distinct().withColumn("g", F.monotonically_increasing_id()), "groups")
+    return materialize(rows.join(groups, by).select("g", "p"), "members")
+
+
+#: Members of a group that are paired in one task; larger groups are split into parts of about so many.
+GROUP_PART = 1024
+
+
+def group_pairs(members: DataFrame) -> DataFrame:
+    """(u, v) distinct, u < v: who is in a group together, of distinct members(g, p).
+
+    Pairs come from the first group that both are in: members bring the groups before it along, so pairs, which grow
+    with the square of a group, are never shuffled. A member of k groups sends k * k / 2 numbers.
+    """
+    lists = members.groupBy("p").agg(F.sort_array(F.collect_list("g")).alias("gs"))
+    placed = lists.select("p", F.posexplode("gs").alias("k", "g"), "gs").select("g", "p", F.slice("gs", 1, F.col("k")).alias("early"))
+    sizes = members.groupBy("g").agg(F.ceil(F.count("*") / GROUP_PART).cast("int").alias("parts"))
+    dealt = placed.join(sizes, "g")
+    left = dealt.select("g", F.col("p").alias("u"), F.col("early").alias("_eu"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = dealt.select("g", F.col("p").alias("v"), F.col("early").alias("_ev"), F.pmod(F.xxhash64("p"), F.col("parts")).cast("int").alias("part"))
+    return left.hint("merge").join(right, ["g", "part"]).where((F.col("u") < F.col("v")) & ~F.arrays_overlap("_eu", "_ev")).select("u", "v")
+
+
+def group_links(members: DataFrame) -> DataFrame:
+    """(u, v): each member with the least one of its group, which connect the same nodes as all pairs."""
+    least = members.groupBy("g").agg(F.min("p").alias("u"))
+    return members.join(least, "g").where("p > u").select("u", F.col("p").alias("v")).distinct()
 
 
 def _pairs(rows: DataFrame, by: list[str], node: str) -> DataFrame:
