@@ -3,7 +3,8 @@
 A multiplication is a join of entries and block on the column and a grouped sum a row, which pre-aggregates.
 Blocks are made orthonormal by tall-skinny QR: each task factors its rows, the small triangles are stacked and
 factored again in a tree, and rows are multiplied by the inverse. No row is longer than the block is wide, and
-the driver holds matrices of the block's width only.
+the driver holds matrices of the block's width only: blocks are never broadcast, which would send each round's
+through it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def start(ids: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 def multiply(entries: DataFrame, block: DataFrame, k: int) -> DataFrame:
     """(id, y): the matrix entries(a, b, value) times the block; rows without entries are left out."""
-    joined = entries.join(block.select(F.col("id").alias("b"), "y"), "b")
+    joined = entries.join(block.select(F.col("id").alias("b"), "y").hint("merge"), "b")
     sums = joined.groupBy(F.col("a").alias("id")).agg(*[F.sum(F.col("value") * F.col("y")[j]).alias(f"y{j}") for j in range(k)])
     return sums.select("id", F.array(*[f"y{j}" for j in range(k)]).alias("y"))
 
@@ -142,12 +143,12 @@ def leading_eigen(entries: DataFrame, want: int, top: float, save: Save, degree:
 def _less(a: DataFrame, b: DataFrame, k: int, factor: float) -> DataFrame:
     """a - factor * b; rows that one lacks are zeros."""
     zeros = F.array_repeat(F.lit(0.0), k)
-    joined = a.join(b.withColumnRenamed("y", "z"), "id", "full")
+    joined = a.join(b.withColumnRenamed("y", "z").hint("merge"), "id", "full")
     return joined.select("id", F.zip_with(F.coalesce("y", zeros), F.coalesce("z", zeros), lambda x, z: x - factor * z).alias("y"))
 
 
 def _inner(a: DataFrame, b: DataFrame, k: int) -> np.ndarray:
     """The k * k inner products of two blocks' columns."""
-    joined = a.join(b.withColumnRenamed("y", "z"), "id")
+    joined = a.join(b.withColumnRenamed("y", "z").hint("merge"), "id")
     flat = joined.agg(*[F.sum(F.col("y")[i] * F.col("z")[j]) for i in range(k) for j in range(k)]).first()
     return np.array(flat, float).reshape(k, k)

@@ -24,19 +24,19 @@ def walks(edges: DataFrame, save: Save, per_node: int = 8, length: int = 15, see
     """
     ranked = G.adjacency(edges).withColumn("i", F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1)
     deg = G.degree(edges)
-    indexed = save(ranked.join(deg.toDF("src", "d"), "src").select("src", "dst", "i", "d"))
-    at = G.nodes(edges).select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per_node - 1).cast("bigint"))).alias("walk"))
-    now = save(at.select("start", "walk", F.lit(0).alias("step"), F.col("start").alias("node"), F.lit(None).cast("bigint").alias("last")))
+    # A step brings the degree of the node it leads to along.
+    indexed = save(ranked.join(deg.toDF("dst", "d"), "dst").select("src", "dst", "i", "d"))
+    at = deg.select(F.col("id").alias("start"), "d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per_node - 1).cast("bigint"))).alias("walk"))
+    now = save(at.select("start", "walk", F.lit(0).alias("step"), F.col("start").alias("node"), F.lit(None).cast("bigint").alias("last"), "d"))
     out = now.select("start", "walk", "step", "node")
     second = None if p == q == 1 else save(transition_probs(edges, p, q))
     for step in range(1, length):
-        here = now.join(deg.toDF("node", "d"), "node")
         if second is None or step == 1:
-            pick = here.withColumn("i", hashing.index(F.col("d"), seed, "walk", "start", "walk", F.lit(step)))
-            moved = pick.join(indexed.select(F.col("src").alias("node"), "i", "dst"), ["node", "i"]).select("start", "walk", F.lit(step).alias("step"), F.col("dst").alias("node"), F.col("node").alias("last"))
+            pick = now.withColumn("i", hashing.index(F.col("d"), seed, "walk", "start", "walk", F.lit(step)))
+            moved = pick.drop("d").join(indexed.select(F.col("src").alias("node"), "i", "dst", "d").hint("merge"), ["node", "i"]).select("start", "walk", F.lit(step).alias("step"), F.col("dst").alias("node"), F.col("node").alias("last"), "d")
         else:
             x = hashing.uniform(seed, "walk", "start", "walk", F.lit(step))
-            options = here.withColumn("x", x).join(second.toDF("last", "node", "dst", "p", "upto"), ["last", "node"])
+            options = now.withColumn("x", x).join(second.toDF("last", "node", "dst", "p", "upto"), ["last", "node"])
             first = options.where("upto > x").groupBy("start", "walk").agg(F.min(F.struct("upto", "dst", "node")).alias("m"))
             moved = first.select("start", "walk", F.lit(step).alias("step"), F.col("m.dst").alias("node"), F.col("m.node").alias("last"))
         now = save(moved)
@@ -49,27 +49,28 @@ def rejection_walks(edges: DataFrame, save: Save, per_node: int = 8, length: int
 
     A step tries neighbours, equally likely, by MD5, and takes one with its weight (1/p back, 1 to a common
     neighbour of both last nodes, 1/q else) over the largest weight; the first one taken is the step. `trials` at a
-    time are looked at for the walks that still wait, so rows follow the walks, not the squares of degrees.
+    time are looked at for the walks that still wait, so rows follow the walks, not the squares of degrees. Tables of
+    the graph are never broadcast: each step would send them through the driver again.
     """
     ranked = G.adjacency(edges).withColumn("i", F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1)
     deg = G.degree(edges)
-    indexed = save(ranked.join(deg.toDF("src", "d"), "src").select("src", "dst", "i", "d"))
+    indexed = save(ranked.join(deg.toDF("dst", "d"), "dst").select("src", "dst", "i", "d"))
     near = indexed.select(F.col("src").alias("last"), F.col("dst").alias("next"), F.lit(True).alias("near"))
-    at = G.nodes(edges).select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per_node - 1).cast("bigint"))).alias("walk"))
-    now = save(at.select("start", "walk", F.lit(0).alias("step"), F.col("start").alias("node"), F.lit(None).cast("bigint").alias("last")))
+    at = deg.select(F.col("id").alias("start"), "d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per_node - 1).cast("bigint"))).alias("walk"))
+    now = save(at.select("start", "walk", F.lit(0).alias("step"), F.col("start").alias("node"), F.lit(None).cast("bigint").alias("last"), "d"))
     out, top = now.select("start", "walk", "step", "node"), max(1.0, 1.0 / p, 1.0 / q)
     for step in range(1, length):
-        waiting, moved, first = now.join(deg.toDF("node", "d"), "node"), None, 0
+        waiting, moved, first = now, None, 0
         while True:
             tried = waiting.withColumn("trial", F.explode(F.sequence(F.lit(first), F.lit(first + trials - 1))))
             tried = tried.withColumn("i", hashing.index(F.col("d"), seed, "pick", "start", "walk", F.lit(step), "trial"))
-            found = tried.join(indexed.select(F.col("src").alias("node"), "i", F.col("dst").alias("next")), ["node", "i"]).join(near, ["last", "next"], "left")
+            found = tried.drop("d").join(indexed.select(F.col("src").alias("node"), "i", F.col("dst").alias("next"), "d").hint("merge"), ["node", "i"]).join(near.hint("merge"), ["last", "next"], "left")
             weight = F.when(F.col("last").isNull(), top).when(F.col("next") == F.col("last"), 1.0 / p).when(F.col("near"), 1.0).otherwise(1.0 / q)
             taken = found.where(hashing.uniform(seed, "take", "start", "walk", F.lit(step), "trial") * top < weight)
-            least = save(taken.groupBy("start", "walk").agg(F.min(F.struct("trial", "next", "node")).alias("m")))
-            new = least.select("start", "walk", F.lit(step).alias("step"), F.col("m.next").alias("node"), F.col("m.node").alias("last"))
+            least = save(taken.groupBy("start", "walk").agg(F.min(F.struct("trial", "next", "node", "d")).alias("m")))
+            new = least.select("start", "walk", F.lit(step).alias("step"), F.col("m.next").alias("node"), F.col("m.node").alias("last"), F.col("m.d").alias("d"))
             moved = new if moved is None else moved.unionByName(new)
-            waiting, first = save(waiting.join(least.select("start", "walk"), ["start", "walk"], "left_anti")), first + trials
+            waiting, first = save(waiting.join(least.select("start", "walk").hint("merge"), ["start", "walk"], "left_anti")), first + trials
             if waiting.isEmpty():
                 break
         now = save(moved)
