@@ -510,3 +510,45 @@ def test_oracles_hold(spark):
         columns = [d[0] for d in want.description]
         rows = sorted(str(r) for r in want.fetchall())
         assert sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, SF).select(*columns).collect()) == rows, name
+
+
+def test_dense_windows_against_brute_force():
+    """Whether a shingle can be in a passage, by all runs of the document; similarity is that of sets."""
+    rng = np.random.default_rng(11)
+    for _ in range(150):
+        size = rng.integers(0, 25, 3)
+        first = np.r_[0, np.cumsum(size)]
+        code = rng.integers(0, rng.integers(2, 60), first[-1]).astype(np.uint64)
+        shared = np.isin(code, np.unique(code)[::2] if rng.random() < 0.5 else rng.choice(60, 45).astype(np.uint64))
+        got = passages.coverable(code, first, shared, 6, 80)
+        for a, z in zip(first[:-1], first[1:]):
+            for b in range(a, z):
+                for e in range(b + 6, z + 1):
+                    part = code[b:e]
+                    # A passage is cut to its ends, and begins with the first of equal shingles in a row.
+                    if 100 * len(np.unique(part[shared[b:e]])) >= 80 * len(np.unique(part)):
+                        assert got[b:e].all()
+    code, first = np.arange(100, dtype=np.uint64), np.array([0, 50, 100])
+    shared = np.r_[np.ones(30, bool), np.zeros(70, bool)]
+    assert passages.coverable(code, first, shared, 46, 80).sum() == 0
+
+
+def test_windows_of_repeated_words_are_two():
+    code = np.r_[np.arange(5), np.full(20, 7), np.arange(8, 12)].astype(np.uint64)
+    c = np.r_[3, np.arange(5, 25), 26]
+    at, left = passages.ends_of_runs(code, c - 2, c)
+    assert c[at].tolist() == [3, 5, 24, 26] and left.tolist() == [1, 3, 3, 24]
+
+
+def test_passages_second_passage_of_a_linked_pair(spark):
+    """Two documents that one passage links share another, edited, around a quote of many documents."""
+    rng = random.Random(21)
+    rows, quote = [], prose(rng, 40)
+    for k in range(10):
+        whole, before, behind = prose(rng, 70), prose(rng, 12).split(), prose(rng, 12).split()
+        for m in range(2):
+            rows.append((2 * k + m, " ".join([prose(rng, 80), whole, prose(rng, 90), *before, quote, *(behind if m else [*behind[:6], "changed", *behind[7:]]), prose(rng, 80)])))
+    rows += [(1000 + k, f"{prose(rng, 80)} {quote} {prose(rng, 80)}") for k in range(150)]
+    got = {r["doc_id"]: r for r in passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i]["class_id"] == i - i % 2 for i in range(20)) and all(got[i]["class_id"] == i for i in got if i >= 1000)
+    assert sum(got[i]["n_passages"] == 2 for i in range(20)) >= 18
