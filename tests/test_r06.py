@@ -58,3 +58,33 @@ def test_searches_in_shares_are_those_of_tables(graph, monkeypatch):
     assert len(got) == n and all(got[k] == pytest.approx(want.get(k, 0.0)) for k in got)
     far = {r["src"]: r["x"] for r in A.distances(edges, save).groupBy("src").agg({"dist": "max"}).toDF("src", "x").collect()}
     assert {r["id"]: r["far"] for r in A.hop_sums(edges, save).collect()} == far
+
+
+def test_greedy_communities_have_no_limit_of_edges(spark):
+    """Two cliques of 450 nodes and a link, 202,051 edges: components of more than 200,000 were refused."""
+    clique = spark.range(450).selectExpr("id AS u").crossJoin(spark.range(450).selectExpr("id AS v")).where("u < v")
+    edges = save(clique.union(clique.selectExpr("u + 450", "v + 450")).union(spark.createDataFrame([(0, 450)], "u bigint, v bigint")))
+    assert edges.count() == 202051
+    got = A.greedy_communities(edges).groupBy("community").agg({"id": "min"}).collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (1, 450)]
+
+
+def test_greedy_merges_are_those_of_the_plain_rule():
+    rng = np.random.default_rng(3)
+    for n in (5, 12, 25):
+        links = sorted({tuple(sorted(map(int, rng.choice(n, 2, replace=False)))) for _ in range(3 * n)})
+        m, parts = len(links) + 2, [{k} for k in sorted({x for e in links for x in e})]
+        while True:
+            best = None
+            for a in range(len(parts)):
+                for b in range(a + 1, len(parts)):
+                    w = sum((u in parts[a] and v in parts[b]) or (u in parts[b] and v in parts[a]) for u, v in links)
+                    ends = [sum((u in p) + (v in p) for u, v in links) for p in (parts[a], parts[b])]
+                    key = (-(w / m - ends[0] * ends[1] / (2.0 * m * m)), min(parts[a]), min(parts[b]), a, b)
+                    if w and -key[0] > 1e-15 and (best is None or key < best):
+                        best = key
+            if best is None:
+                break
+            parts[best[3]] |= parts.pop(best[4])
+            parts.sort(key=min)
+        assert sorted(map(sorted, A._agglomerate(links, m))) == sorted(map(sorted, parts))

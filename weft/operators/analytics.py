@@ -251,17 +251,17 @@ def num_communities(labels: DataFrame) -> DataFrame:
     return labels.agg(F.countDistinct("community").alias("num_communities"))
 
 
-def greedy_communities(edges: DataFrame, most_edges: int = 200_000, save: Save = lambda df: materialize(df, "graph")) -> DataFrame:
+def greedy_communities(edges: DataFrame, most_edges: int | None = None, save: Save = lambda df: materialize(df, "graph")) -> DataFrame:
     """(id, community) by greedy modularity maximisation (Clauset, Newman and Moore 2004), larger communities first.
 
     Only linked communities merge, and a gain depends on the two and on the number of all edges, so components are
-    agglomerated side by side with the same result. Within one it is sequential: one with more than most_edges edges
-    is refused (`louvain` and `label_propagation` are for those). Ties: the least pair of community ids merges.
+    agglomerated side by side with the same result. Within one it is sequential, in one task that holds the component's
+    links; with most_edges a component of more is refused. Ties: the least pair of community ids merges.
     """
     m = edges.count()
     placed = save(edges.join(connected_components(edges, save).toDF("u", "component"), "u").select("u", "v", "component"))
     largest, parts = placed.groupBy("component").count().agg(F.max("count"), F.count("*")).first()
-    if (largest or 0) > most_edges:
+    if most_edges is not None and (largest or 0) > most_edges:
         raise ValueError("too many edges for one task: use louvain or label_propagation")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -281,32 +281,60 @@ def greedy_communities(edges: DataFrame, most_edges: int = 200_000, save: Save =
 
 
 def _agglomerate(links: list[tuple[int, int]], m: int) -> list[list[int]]:
-    """Communities of one component's links; m: the number of edges of the whole graph."""
+    """Communities of one component's links; m: the number of edges of the whole graph.
+
+    The heap has each two linked communities once, by a gain that they had: a community that grows loses gain with all
+    but those that its new part was linked to, so only these are entered again, and others when their turn comes. Of two
+    that merge, the one with more links takes the other's in, and keeps its place; its id is the less of both.
+    """
     import heapq
 
-    near: dict[int, dict[int, float]] = {}
+    place: dict[int, int] = {}
     for u, v in links:
-        near.setdefault(u, {})[v] = near.setdefault(v, {})[u] = 1.0
-    ends = {c: float(len(x)) for c, x in near.items()}
-    members = {c: [c] for c in near}
-    gain = lambda a, b: near[a][b] / m - ends[a] * ends[b] / (2.0 * m * m)
-    heap = [(-gain(a, b), a, b) for a in near for b in near[a] if a < b]
+        place.setdefault(u, len(place))
+        place.setdefault(v, len(place))
+    ids = list(place)
+    near: list[dict[int, int] | None] = [{} for _ in ids]
+    for u, v in links:
+        a, b = place[u], place[v]
+        near[a][b] = near[b][a] = 1
+    ends, members = [len(x) for x in near], [[i] for i in ids]
+
+    def entry(a: int, b: int) -> tuple[float, int, int, int, int]:
+        if ids[a] > ids[b]:
+            a, b = b, a
+        return -(near[a][b] / m - ends[a] * ends[b] / (2.0 * m * m)), ids[a], ids[b], a, b
+
+    heap = [entry(a, b) for a, x in enumerate(near) for b in x if a < b]
     heapq.heapify(heap)
     while heap:
-        g, a, b = heapq.heappop(heap)
-        if a not in near or b not in near[a] or -gain(a, b) != g:
+        top = heap[0]
+        a, b = top[3:]
+        if near[a] is None or near[b] is None or b not in near[a]:
+            heapq.heappop(heap)
+            continue
+        now = entry(a, b)
+        if now != top:
+            heapq.heapreplace(heap, now)
             continue
-        if -g <= 1e-15:
+        heapq.heappop(heap)
+        if -now[0] <= 1e-15:
             break
-        for c, x in near.pop(b).items():
-            del near[c][b]
+        if len(near[a]) < len(near[b]):
+            a, b = b, a
+        ids[a] = min(ids[a], ids[b])
+        ends[a] += ends[b]
+        members[a] += members[b]
+        del near[a][b]
+        moved, near[b], members[b] = near[b], None, []
+        for c, x in moved.items():
+            if c != a:
+                del near[c][b]
+                near[a][c] = near[c][a] = near[a].get(c, 0) + x
+        for c in moved:
             if c != a:
-                near[a][c] = near[c][a] = near[a].get(c, 0.0) + x
-        ends[a] += ends.pop(b)
-        members[a] += members.pop(b)
-        for c in near[a]:
-            heapq.heappush(heap, (-gain(a, c), *sorted((a, c))))
-    return list(members.values())
+                heapq.heappush(heap, entry(a, c))
+    return [x for x in members if x]
 
 
 def label_propagation(edges: DataFrame, save: Save, rounds: int = 10) -> DataFrame:
