@@ -88,3 +88,24 @@ def test_greedy_merges_are_those_of_the_plain_rule():
             parts[best[3]] |= parts.pop(best[4])
             parts.sort(key=min)
         assert sorted(map(sorted, A._agglomerate(links, m))) == sorted(map(sorted, parts))
+
+
+def test_pairs_of_vectors_are_measured_side_by_side(spark, monkeypatch):
+    """The sums were taken vector by vector in the plan; the pairs and their measures stay as they were."""
+    from weft.operators import embeddings as E
+
+    monkeypatch.setattr(E, "GROUP_PART", 4)
+    rows = [(k, k % 3, [float(np.sin(k * j + 1)) for j in range(9)]) for k in range(40)] + [(40, 0, None), (41, 1, [0.5, None] + [1.0] * 7), (42, 1, [1.0]), (None, 0, [1.0] * 9)]
+    vecs = save(spark.createDataFrame(rows, "id bigint, group int, z array<double>"))
+    got = E.group_embedding_features(vecs, 9)
+    assert "zip_with" not in got._jdf.queryExecution().executedPlan().toString()
+    whole = [r for r in got.collect() if r["u"] not in (41, 42) and r["v"] not in (41, 42)]
+    odd = [r for r in got.collect() if r["u"] in (41, 42) or r["v"] in (41, 42)]
+    assert len(odd) == 13 * 2 + 1 and all(x is None for r in odd for x in r[2:])
+    ids = [k for k in range(41)]
+    pairs = save(spark.createDataFrame([(a, b) for a in ids for b in ids if a < b and (a % 3 if a < 40 else 0) == (b % 3 if b < 40 else 0)], "u bigint, v bigint"))
+    want = E.edge_embedding_features(pairs, vecs.where("id <= 40").select("id", "z"), 9)
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, want.collect()))
+    few = E.group_embedding_features(vecs, 9, columns=("emb_hadamard_1", "emb_l2_dist"), digits=3)
+    rounded = {(r["u"], r["v"]): (round(r["emb_hadamard_1"], 3) + 0.0, round(r["emb_l2_dist"], 3)) for r in want.collect()}
+    assert {(r[0], r[1]): (r[2], r[3]) for r in few.collect() if r[2] is not None} == rounded
