@@ -109,3 +109,21 @@ def test_pairs_of_vectors_are_measured_side_by_side(spark, monkeypatch):
     few = E.group_embedding_features(vecs, 9, columns=("emb_hadamard_1", "emb_l2_dist"), digits=3)
     rounded = {(r["u"], r["v"]): (round(r["emb_hadamard_1"], 3) + 0.0, round(r["emb_l2_dist"], 3)) for r in want.collect()}
     assert {(r[0], r[1]): (r[2], r[3]) for r in few.collect() if r[2] is not None} == rounded
+
+
+def test_few_held_rows_are_summed_by_the_driver(spark, monkeypatch):
+    """A pass over few rows was a job each; its sums are the same to the last bit."""
+    from weft.functions import treesum
+    from weft.operators.boosting import BoostedTrees
+    from weft.operators.networks import Network
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3))
+    rows = save(spark.createDataFrame([(*map(float, r), int(r[0] + r[1] * r[2] > 0)) for r in x], "a double, b double, c double, label int").repartition(3))
+    columns = ["a", "b", "c"]
+    trees, net = BoostedTrees(columns, maxIter=10, maxDepth=3), Network(columns, hidden=[4], kinds=["relu"], maxIter=3)
+    assert isinstance(treesum.held(rows), treesum.Local)
+    local = trees.fit(rows).state(), net.fit(rows).state()
+    monkeypatch.setattr(treesum, "LOCAL_BYTES", -1)
+    assert not isinstance(treesum.held(rows), treesum.Local)
+    assert (trees.fit(rows).state(), net.fit(rows).state()) == local

@@ -24,7 +24,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.treesum import held, held_sum, per_task
+from weft.functions.treesum import Local, held, held_sum, per_task
 from weft.operators.learners import Fitted, HasColumns, scored
 from weft.sources.scratch import materialize, release
 
@@ -289,7 +289,7 @@ class BoostedTrees(HasColumns, Estimator, DefaultParamsReadable, DefaultParamsWr
         kept, trees, pending = held(blocks), [], []
         for _ in range(self.getOrDefault(self.maxIter)):
 
-            def histograms(tree: Tree, nodes: list[int], kept: RDD = kept, pending: list[Tree] = pending) -> np.ndarray:
+            def histograms(tree: Tree, nodes: list[int], kept: RDD | Local = kept, pending: list[Tree] = pending) -> np.ndarray:
                 return held_sum(kept, _histogram_task(width, most, pending, rate, tree, nodes), (len(nodes), width, most, 3), np.int64)
 
             if not width:
@@ -298,6 +298,9 @@ class BoostedTrees(HasColumns, Estimator, DefaultParamsReadable, DefaultParamsWr
             trees.append(tree)
             pending = [*pending, tree]
             if len(pending) == REWRITE and len(trees) < self.getOrDefault(self.maxIter):
+                if isinstance(kept, Local):
+                    kept, pending = kept.mapped(_rewrite(width, pending, rate)), []
+                    continue
                 before, blocks = blocks, materialize(blocks.mapInArrow(_rewrite(width, pending, rate), _BLOCK_DDL), "boosting")
                 kept.unpersist()
                 release(spark, before)

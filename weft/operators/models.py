@@ -6,6 +6,9 @@ Every classifier is a pyspark.ml Pipeline: fit it on a table with feature column
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
@@ -93,12 +96,18 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
     return []
 
 
+#: Models that are fitted side by side: fits of few rows wait for the start of their many short jobs.
+FITS = 4
+
+
 def score_all(models: dict[str, Pipeline | PipelineModel], train: DataFrame, test: DataFrame) -> DataFrame:
     """Test pairs scored by every model: (model, u, v, label, score). Models that aren't fitted are, on train."""
+    fit = inheritable_thread_target(train.sparkSession)(lambda m: m if isinstance(m, PipelineModel) else m.fit(train))
+    with ThreadPoolExecutor(FITS) as pool:
+        fitted = dict(zip(models, pool.map(fit, models.values())))
     out = None
-    for name, model in models.items():
-        fitted = model if isinstance(model, PipelineModel) else model.fit(train)
-        part = fitted.transform(test).select(F.lit(name).alias("model"), "u", "v", "label", F.col("probability").alias("score"))
+    for name, model in fitted.items():
+        part = model.transform(test).select(F.lit(name).alias("model"), "u", "v", "label", F.col("probability").alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -19,7 +19,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.treesum import held, held_sum, per_task
+from weft.functions.treesum import held, held_sum, per_task, together
 from weft.operators.boosting import TASK_ROWS
 from weft.operators.learners import SCALED, Fitted, HasColumns, scored
 from weft.sources.scratch import materialize, release
@@ -173,7 +173,7 @@ class Network(HasColumns, Estimator, DefaultParamsReadable, DefaultParamsWritabl
                 if not sizes.get(k) and not with_loss:
                     continue
                 read = [kept_rows[b] for b in ([k, HELD_OUT] if with_loss else [k]) if b in kept_rows]
-                total = held_sum(spark.sparkContext.union(read), _step(layers, flat), (len(flat) + 1,), np.float64)
+                total = held_sum(together(spark, read), _step(layers, flat), (len(flat) + 1,), np.float64)
                 if with_loss:
                     losses.append(float(total[-1]) / sizes[HELD_OUT])
                     better = losses[-1] < best_loss - get("tolerance")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from weft.operators import analytics as A
@@ -23,9 +25,20 @@ class PairFeatures:
 
     @classmethod
     def fit(cls, known: DataFrame, save: Callable[[DataFrame], DataFrame], dim: int = 16) -> PairFeatures:
-        """Communities are modularity's at any number of edges, from rounds that end early: a feature, not a partition to keep."""
-        stats = A.pagerank(known, save).join(A.closeness(known, save), "id").join(louvain(known, save, patience=1, least=1e-3), "id", "left")
-        return cls(known, save(stats), save(E.node_embeddings(known, save, dim)))
+        """Communities are modularity's at any number of edges, from rounds that end early: a feature, not a partition to keep.
+
+        Each of the four is a loop of short jobs on its own, so they run side by side.
+        """
+        parts = (
+            lambda: A.pagerank(known, save),
+            lambda: A.closeness(known, save),
+            lambda: louvain(known, save, patience=1, least=1e-3),
+            lambda: save(E.node_embeddings(known, save, dim)),
+        )
+        run = inheritable_thread_target(known.sparkSession)(lambda part: part())
+        with ThreadPoolExecutor(len(parts)) as pool:
+            rank, close, communities, vectors = pool.map(run, parts)
+        return cls(known, save(rank.join(close, "id").join(communities, "id", "left")), vectors)
 
     def transform(self, pairs: DataFrame, exclude_self_edge: bool = False) -> DataFrame:
         """pairs(u, v, ...) with the sixteen features of topology and the twelve of embeddings."""
