@@ -127,3 +127,18 @@ def test_few_held_rows_are_summed_by_the_driver(spark, monkeypatch):
     monkeypatch.setattr(treesum, "LOCAL_BYTES", -1)
     assert not isinstance(treesum.held(rows), treesum.Local)
     assert (trees.fit(rows).state(), net.fit(rows).state()) == local
+
+
+def test_measures_of_all_pairs_learn_what_they_read_only(spark, graph, monkeypatch):
+    """PageRank's product and difference computed closeness as well; the smaller side was broadcast."""
+    from weft.operators import features as X
+    from weft.plans import queries
+
+    monkeypatch.setattr(queries.A, "closeness", None)
+    edges = save(graph([(0, 1), (1, 2), (2, 3), (0, 2)]))
+    stats = save(queries.one_stat("pagerank_diff", edges, None))
+    monkeypatch.setattr(X, "NODE_PART", 3)
+    got = X.all_node_features(stats).select("u", "v", "pagerank_diff")
+    assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()
+    rank = {r["id"]: r["pagerank"] for r in stats.collect()}
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == {(a, b): abs(rank[a] - rank[b]) for a in range(4) for b in range(a + 1, 4)}
