@@ -142,3 +142,26 @@ def test_measures_of_all_pairs_learn_what_they_read_only(spark, graph, monkeypat
     assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()
     rank = {r["id"]: r["pagerank"] for r in stats.collect()}
     assert {(r[0], r[1]): r[2] for r in got.collect()} == {(a, b): abs(rank[a] - rank[b]) for a in range(4) for b in range(a + 1, 4)}
+
+
+def test_sketches_are_merged_in_tasks(spark, graph, monkeypatch):
+    """Sketches were sent along every edge in every round; now none is written, in whatever shares registers are dealt."""
+    from weft.sources import edges as src
+
+    plans = []
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df)
+
+    edges = save(src.powerlaw_cluster(spark, 300, 3).union(graph([(1000, 1001), (1001, 1002)])))
+    exact = {r["id"]: r for r in A.closeness(edges, save).join(A.hop_sums(edges, save), "id").collect()}
+    whole = sorted(map(tuple, A.sketched_closeness(edges, watched).collect()))
+    assert not any("hll" in p for p in plans)
+    assert len(whole) == len(exact) == 303
+    for k, closeness, reached, rounds in whole:
+        assert closeness == pytest.approx(exact[k]["closeness"], rel=0.05) and reached == pytest.approx(exact[k]["r"], rel=0.05)
+        assert rounds <= exact[k]["far"]
+    monkeypatch.setattr(searches, "REGISTERS", 1 << 18)
+    parts = sorted(map(tuple, A.sketched_closeness(edges, save).collect()))
+    assert [p == (pytest.approx(w)) for p, w in zip(parts, whole)] == [True] * 303
